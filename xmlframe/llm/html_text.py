@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,9 +183,7 @@ def extract(df: DataFrame, *, html: str = "html", out: str = "text", **options:
     df = df.drop(*{out, "n_chars"} - {html})
 
     @F.pandas_udf("string")
-    def text(pages: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in pages:
             yield pd.Series([main_text(x, **options) for x in batch], dtype="object")
 

@@ -127,6 +127,14 @@ class Component:
     own_wide: int = 0  # blocks that a scan of this component alone has
     own_high: int = 0
     coefficients: np.ndarray = field(default_factory=lambda: np.zeros((0, 64), np.int32))  # zigzag order
+    _rows: np.ndarray | None = None
+
+    def own_rows(self) -> np.ndarray:
+        """Rows of ``coefficients`` in the order of a scan of this component alone."""
+        if self._rows is None:
+            rows = np.arange(self.own_wide * self.own_high)
+            self._rows = rows // self.own_wide * self.wide + rows % self.own_wide
+        return self._rows
 
 
 @dataclass
@@ -159,7 +167,12 @@ class _Bits:
         self.at = b
         return (int.from_bytes(self.data[a >> 3 : b + 7 >> 3], "big") >> (-b & 7)) & ((1 << n) - 1)
 
-    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
+    def symbol(self, codes: "_Codes") -> int:
+        at = self.at >> 3
+        n, s = codes.short[(int.from_bytes(self.data[at : at + 2].ljust(2, b"\xff"), "big") >> (8 - (self.at & 7))) & 255]
+        if n and self.at + n <= len(self.bits):
+            self.at += n
+            return s
         value = 0
         for n in range(1, 17):
             value = value << 1 | self.take(1)
@@ -172,14 +185,21 @@ class _Bits:
         return x if n == 0 or x >> (n - 1) else x - (1 << n) + 1
 
 
-def _codes(lengths: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    out, code, at = {}, 0, 0
-    for n, count in enumerate(lengths, 1):
-        for _ in range(count):
-            out[n, code] = symbols[at]
-            code, at = code + 1, at + 1
-        code <<= 1
-    return out
+class _Codes(dict[tuple[int, int], int]):
+    """Symbols by (length, code); ``short`` has (length, symbol) for each next byte that begins with a code of up to 8 bits."""
+
+    def __init__(self, lengths: bytes, symbols: bytes) -> None:
+        super().__init__()
+        self.short: list[tuple[int, int]] = [(0, 0)] * 256
+        code = at = 0
+        for n, count in enumerate(lengths, 1):
+            for _ in range(count):
+                self[n, code] = symbols[at]
+                if n <= 8:
+                    first = code << (8 - n)
+                    self.short[first : first + (1 << (8 - n))] = [(n, symbols[at])] * (1 << (8 - n))
+                code, at = code + 1, at + 1
+            code <<= 1
 
 
 def decode(data: bytes) -> Image:
@@ -209,7 +229,7 @@ def decode(data: bytes) -> Image:
         elif marker == 0xC4:
             while body:
                 count = sum(body[1:17])
-                huffman[body[0]], body = _codes(body[1:17], body[17 : 17 + count]), body[17 + count :]
+                huffman[body[0]], body = _Codes(body[1:17], body[17 : 17 + count]), body[17 + count :]
         elif marker == 0xDD:
             restart = int.from_bytes(body, "big")
         elif marker == 0xC2:
@@ -247,8 +267,7 @@ def _read_scan(image: Image, huffman: dict[int, dict], head: bytes, data: bytes)
         _read_dc(own, huffman, bits, high, low)
         return
     c, tables = own[0]
-    rows = np.arange(c.own_wide * c.own_high)
-    rows = rows // c.own_wide * c.wide + rows % c.own_wide
+    rows = c.own_rows()
     codes = huffman[0x10 | tables & 15]
     if high:
         _refine_ac(c, rows, codes, bits, first, last, 1 << low)
@@ -259,9 +278,7 @@ def _read_scan(image: Image, huffman: dict[int, dict], head: bytes, data: bytes)
 def _dc_order(own: list) -> list[tuple[int, np.ndarray]]:
     """For each block place in a unit: (component, its rows in the order of units)."""
     if len(own) == 1:
-        c = own[0][0]
-        rows = np.arange(c.own_wide * c.own_high)
-        return [(0, rows // c.own_wide * c.wide + rows % c.own_wide)]
+        return [(0, own[0][0].own_rows())]
     out = []
     for i, (c, _) in enumerate(own):
         across, down = c.wide // c.h, c.high // c.v
@@ -292,7 +309,7 @@ def _read_dc(own: list, huffman: dict, bits: _Bits, high: int, low: int) -> None
             c.coefficients[places[j][1], 0] = total[:, x] << low
 
 
-def _bytes_ac(c: Component, rows: np.ndarray, codes: dict, data: bytes, first: int, last: int, low: int) -> bool:
+def _bytes_ac(c: Component, rows: np.ndarray, codes: _Codes, data: bytes, first: int, last: int, low: int) -> bool:
     """Decode a band in which every coefficient has the code 0 of size 7, if this is one."""
     width = last - first + 1
     if codes.get((1, 0)) != AC_CODE or len(data) != len(rows) * width:
@@ -305,7 +322,7 @@ def _bytes_ac(c: Component, rows: np.ndarray, codes: dict, data: bytes, first: i
     return True
 
 
-def _first_ac(c: Component, rows: np.ndarray, codes: dict, bits: _Bits, first: int, last: int, low: int) -> None:
+def _first_ac(c: Component, rows: np.ndarray, codes: _Codes, bits: _Bits, first: int, last: int, low: int) -> None:
     skip = 0
     for row in rows:
         if skip:
@@ -326,7 +343,7 @@ def _first_ac(c: Component, rows: np.ndarray, codes: dict, bits: _Bits, first: i
                 break
 
 
-def _refine_ac(c: Component, rows: np.ndarray, codes: dict, bits: _Bits, first: int, last: int, bit: int) -> None:
+def _refine_ac(c: Component, rows: np.ndarray, codes: _Codes, bits: _Bits, first: int, last: int, bit: int) -> None:
     i = 0
     while i < len(rows):
         k, own = first, c.coefficients[rows[i]]

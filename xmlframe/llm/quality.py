@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,9 +161,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", at_least: int =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<expected_grade: double, p_good: double>")
-    def rate(texts: Iterator["pd.Series"]) -> Iterator["pd.DataFrame"]:  # noqa: F821
-        import pandas as pd
-
+    def rate(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             z = np.fromiter((shared.value.score(x) for x in batch), np.float64, len(batch))
             tails = shared.value.tails(z)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xmlframe.llm import mixing, sharding, simhash, url_rules, warc
+from xmlframe.llm import embed_dedup, html_text, media, mixing, packing, quality, sharding, simhash, url_rules, warc
 from xmlframe.llm.common import written
 
 RULES = (
@@ -24,12 +24,36 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def vocabulary() -> str:
+    """The vocabulary file on this machine; a cluster has it at the same path everywhere."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.from_media(media.to_media(_read(spark, sf_dir, "documents")), tensor=False)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(_read(spark, sf_dir, "documents"), vocabulary())
+    return pieces.select(F.col("row_id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = written(warc.write_archives(_read(spark, sf_dir, "pages")), "warc", **{"compression": "none", "parquet.block.size": str(16 << 20)})
     records = warc.read_archives(archives, with_payload=False)
     return records.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
@@ -51,8 +75,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, quality.graded(_read(spark, sf_dir, "labels")))
+    return quality.score(docs, model).select("doc_id", "expected_grade", "p_good", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op6_mixing, op7_url_rules, op8_sharding, op9_simhash)}
+    return {f.__name__: f for f in (op1_media, op2_packing, op3_warc, op4_html_text, op5_embed_dedup, op6_mixing, op7_url_rules, op8_sharding, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
