@@ -23,7 +23,7 @@ def duration2secs(text: str | None) -> float | None:
         return None
     m = _COMPILED.match(text)
     if not m:
-        raise ValueError(f"unsupported duration format `{text}'")
+        raise ValueError(f"illegal duration format: {text}")
     total = sum(float(x or 0) * u for x, u in zip(m.groups()[1:], _UNITS))
     return -total if m[1] else total
 
@@ -32,7 +32,7 @@ def add_duration(text: str, since: float) -> float:
     """Years and months by the calendar, with days beyond a month's end running on into the next month."""
     m = _COMPILED.match(text)
     if not m:
-        raise ValueError(f"unsupported duration format `{text}'")
+        raise ValueError(f"illegal duration format: {text}")
     sign = -1 if m[1] else 1
     y, mo, d, h, mi, s = (float(x or 0) * sign for x in m.groups()[1:])
     t = time.gmtime(int(since))
@@ -49,7 +49,7 @@ def duration2secs_col(text: Column) -> Column:
     """Seconds of a duration column; null stays null and a malformed text raises."""
     total = sum((_part(text, i) * u for i, u in zip(range(2, 8), _UNITS)), F.lit(0.0))
     signed = F.when(F.regexp_extract(text, PATTERN, 1) == "-", -total).otherwise(total)
-    bad = F.raise_error(F.concat(F.lit("unsupported duration format `"), text, F.lit("'"))).cast("double")
+    bad = F.raise_error(F.concat(F.lit("illegal duration format: "), text)).cast("double")
     return F.when(text.isNull() | (text == ""), F.lit(None).cast("double")).when(text.rlike(PATTERN), signed).otherwise(bad)
 
 

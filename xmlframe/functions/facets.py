@@ -63,8 +63,9 @@ def xsd_regex(pattern: str) -> str:
         elif inside and c == "-" and n == "[":  # class subtraction: a look-ahead before the class
             end = pattern.find("]", i)
             start = max(k for k, x in enumerate(out) if x == "[")
-            out.insert(start, f"(?!{xsd_regex(pattern[i + 1 : end + 1])[4:-2]})")
-            i = end + 1
+            out.insert(start, f"(?:(?!{xsd_regex(pattern[i + 1 : end + 1])[4:-2]})")
+            out.append("])")
+            i, inside = end + 2, False
         else:
             inside = c == "[" or inside and c != "]"
             out.append("\\" + c if c in "^$" and not (c == "^" and inside and out and out[-1] == "[") else c)
@@ -101,7 +102,7 @@ def lexical_error(f: Facets, text: str) -> tuple[str, str | None]:
     elif f.space == "replace":
         text = T.spaced(text, "replace")
     if f.patterns and not any(re.search(xsd_regex(p), text) for p in f.patterns):
-        return text, f"string `{text}' does not match pattern " + ", ".join(f"`{p}'" for p in f.patterns)
+        return text, f"string `{text}' does not match pattern " + " or ".join(f"`{p}'" for p in f.patterns)
     if f.enumeration and text not in f.enumeration:
         return text, f"invalid enumerate `{text}'"
     if f.total is not None:
@@ -115,11 +116,20 @@ def lexical_error(f: Facets, text: str) -> tuple[str, str | None]:
     if f.zone in ("required", "prohibited"):
         has = bool(re.search(r"(?:Z|[+-][0-9]{2}:[0-9]{2})\s*$", text))
         if has != (f.zone == "required"):
-            return text, f"explicitTimeZone is {f.zone}, but got `{text}'"
+            return text, f"timezone {'forbidden' if has else 'required'} on {text}"
     return text, None
 
 
+# The texts of violations; v stands for the value, b for the bound.
 _BOUND_TEXT = {"minInclusive": "too small inclusive {v}, min {b}", "minExclusive": "too small exclusive {v}, larger {b}", "maxInclusive": "too large inclusive {v}, max {b}", "maxExclusive": "too large exclusive {v}, smaller {b}"}
+_LENGTH_TEXT = {"length": "does not have required length {n}", "minLength": "does not have minimum length {n}", "maxLength": "longer than maximum length {n}"}
+
+
+def bound_text(name: str, kind: str) -> str:
+    low = name.startswith("min")
+    if kind == "duration":
+        return f"too {'small' if low else 'large'} {name} duration {{v}}, {'min' if low else 'max'} {{b}}"
+    return _BOUND_TEXT["minInclusive" if low else "maxInclusive"] if kind == "date" else _BOUND_TEXT[name]
 
 
 def value_error(f: Facets, kind: str, text: str, value, *, date_facets: str = "lexical") -> str | None:
@@ -134,12 +144,12 @@ def value_error(f: Facets, kind: str, text: str, value, *, date_facets: str = "l
         else:
             ok = _COMPARE[BOUNDS[name]](text, bound)
         if not ok:
-            return _BOUND_TEXT[name].format(v=text, b=bound)
+            return bound_text(name, kind).format(v=text, b=bound)
     size = len(value) if isinstance(value, (bytes, list)) else len(text)
     for name, n in f.lengths:
         if not _COMPARE[LENGTHS[name]](size, n):
-            what = {"length": f"required length {n}", "minLength": f"requires minimum length {n}", "maxLength": f"longer than maximum length {n}"}[name]
-            return f"{'list' if isinstance(value, list) else 'string'} `{text}' {what}"
+            what, many = _LENGTH_TEXT[name].format(n=n), isinstance(value, list)
+            return f"{'list' if many else 'string'} `{text}' {what}" + f" but {size}" * (name == "length" and not many)
     return None
 
 
@@ -158,25 +168,38 @@ def digits_col(text: Column) -> Column:
     return F.length(F.replace(t, F.lit("."), F.lit("")))
 
 
-def lexical_cols(f: Facets, text: Column) -> list[Column]:
-    """Predicates that hold where a text violates a facet."""
-    bad = []
+Violation = tuple[Column, Column]  # where it holds, and its text
+
+
+def _say(template: str, text: Column) -> Column:
+    """A text with the value in place of {v}."""
+    before, _, after = template.partition("{v}")
+    return F.concat(F.lit(before), text, F.lit(after))
+
+
+def lexical_cols(f: Facets, text: Column) -> list[Violation]:
+    """Where a text violates a facet, and what to say."""
+    bad: list[Violation] = []
     if f.patterns:
-        bad.append(~text.rlike("|".join(xsd_regex(p) for p in f.patterns)))
+        said = "string `{v}' does not match pattern " + " or ".join(f"`{p}'" for p in f.patterns)
+        bad.append((~text.rlike("|".join(xsd_regex(p) for p in f.patterns)), _say(said, text)))
     if f.enumeration:
-        bad.append(~text.isin(*f.enumeration))
+        bad.append((~text.isin(*f.enumeration), _say("invalid enumerate `{v}'", text)))
     if f.total is not None:
         if f.fraction is not None:
-            bad.append(F.length(F.regexp_extract(text, r"\.([0-9]*)", 1)) > f.fraction)
-        bad.append(digits_col(text) > f.total)
+            n = F.length(F.regexp_extract(text, r"\.([0-9]*)", 1))
+            bad.append((n > f.fraction, F.concat(_say("fractional part for {v} too long, got ", text), n.cast("string"), F.lit(f" digits max {f.fraction}"))))
+        n = digits_col(text)
+        long = n > f.total if not bad or f.fraction is None else ~bad[-1][0] & (n > f.total)
+        bad.append((long, F.concat(F.lit("decimal too long, got "), n.cast("string"), F.lit(f" digits max {f.total}"))))
     if f.zone in ("required", "prohibited"):
         has = text.rlike(r"(?:Z|[+-][0-9]{2}:[0-9]{2})\s*$")
-        bad.append(~has if f.zone == "required" else has)
+        bad.append((~has, _say("timezone required on {v}", text)) if f.zone == "required" else (has, _say("timezone forbidden on {v}", text)))
     return bad
 
 
-def value_cols(f: Facets, kind: str, text: Column, value: Column, *, is_list: bool = False, date_facets: str = "lexical") -> list[Column]:
-    bad = []
+def value_cols(f: Facets, kind: str, text: Column, value: Column, *, is_list: bool = False, date_facets: str = "lexical") -> list[Violation]:
+    bad: list[Violation] = []
     for name, bound in f.bounds:
         sign = BOUNDS[name]
         if kind == "duration":
@@ -189,8 +212,11 @@ def value_cols(f: Facets, kind: str, text: Column, value: Column, *, is_list: bo
             ok = _COMPARE[sign](value, F.lit(float(bound.replace("INF", "inf"))))
         else:
             ok = _COMPARE[sign](text, F.lit(bound))
-        bad.append(~ok)
+        bad.append((~ok, _say(bound_text(name, kind).replace("{b}", bound), text)))
     size = F.size(value) if is_list else F.octet_length(value) if kind in ("base64", "hex") else F.length(text)
     for name, n in f.lengths:
-        bad.append(~_COMPARE[LENGTHS[name]](size, F.lit(n)))
+        said = _say(("list" if is_list else "string") + " `{v}' " + _LENGTH_TEXT[name].format(n=n), text)
+        if name == "length" and not is_list:
+            said = F.concat(said, F.lit(" but "), size.cast("string"))
+        bad.append((~_COMPARE[LENGTHS[name]](size, F.lit(n)), said))
     return bad

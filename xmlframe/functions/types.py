@@ -7,7 +7,6 @@ pattern or an enumeration still sees what was written.
 from __future__ import annotations
 
 import base64
-import binascii
 import math
 import re
 from dataclasses import dataclass
@@ -73,7 +72,7 @@ def _all() -> dict[str, Builtin]:
         Builtin("unsignedByte", "unsignedShort", "smallint", integer, "remove", "integer", 0, 255),
         Builtin("decimal", "anyAtomicType", "decimal(38,18)", r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$", "remove", "decimal"),
         *(Builtin(n, "anyAtomicType", s, _FLOAT, "remove", "float") for n, s in (("float", "float"), ("double", "double"), ("precisionDecimal", "double"))),
-        Builtin("base64Binary", "anyAtomicType", "binary", r"^[A-Za-z0-9+/=\s]*$", "remove", "base64"),
+        Builtin("base64Binary", "anyAtomicType", "binary", r"^\s*(?:(?:[A-Za-z0-9+/]\s*){4})*(?:(?:[A-Za-z0-9+/]\s*){2}=\s*=\s*|(?:[A-Za-z0-9+/]\s*){3}=\s*)?$", "remove", "base64"),
         Builtin("hexBinary", "anyAtomicType", "binary", r"^\s*(?:[0-9a-fA-F]\s*[0-9a-fA-F]\s*)*$", "remove", "hex"),
         Builtin("date", "anyAtomicType", "string", rf"^\s*{_DATE}{_ZONE}\s*$", "collapse", "date"),
         Builtin("time", "anyAtomicType", "string", rf"^\s*{_TIME}{_ZONE}\s*$", "collapse", "time"),
@@ -159,11 +158,6 @@ def valid(b: Builtin, text: str) -> bool:
     if b.kind == "integer" and (b.low is not None or b.high is not None):
         x = int(spaced(text, "remove"))
         return (b.low is None or x >= b.low) and (b.high is None or x <= b.high)
-    if b.kind == "base64":
-        try:
-            base64.b64decode(spaced(text, "remove"), validate=True)
-        except binascii.Error:
-            return False
     return True
 
 
@@ -222,8 +216,6 @@ def valid_col(b: Builtin, text: Column) -> Column | None:
         inside = [*([x >= F.lit(Decimal(b.low))] if b.low is not None else []), *([x <= F.lit(Decimal(b.high))] if b.high is not None else [])]
         for c in inside:
             ok = ok & F.coalesce(c, text.isNull())
-    if b.kind == "base64":
-        ok = ok & F.try_to_binary(spaced_col(text, "remove"), F.lit("base64")).isNotNull()
     return ok
 
 

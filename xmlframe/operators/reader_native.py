@@ -43,13 +43,13 @@ def simple(t: Simple, text: Column, path: str, options: Options) -> Value:
             squeezed = FA.space_col(FA.Facets(space="collapse"), text) if m.builtin and m.builtin.kind != "text" else text
             fits.append(F.when(F.size(_joined(errors)) == 0, squeezed))
         value = F.coalesce(*fits)
-        return value, [_error(text.isNotNull() & value.isNull(), "union", path, F.concat(F.lit("no match for `"), text, F.lit(f"' in union at {path}")))]
+        return value, [_error(text.isNotNull() & value.isNull(), "union", path, F.concat(F.lit("no match for `"), text, F.lit(f"' in union at {path}#union")))]
     errors: list[Column] = []
     for f in t.steps:
         text = FA.space_col(f, text)
         seen = FA.space_col(FA.Facets(space="collapse"), text) if t.variety == "list" else text
-        for bad in FA.lexical_cols(f, seen):
-            errors.append(_error(bad, "facet", path, F.concat(F.lit("facet violated by `"), text, F.lit(f"' at {path}#facet"))))
+        for bad, said in FA.lexical_cols(f, seen):
+            errors.append(_error(bad, "facet", path, F.concat(said, F.lit(f" at {path}#facet"))))
     if t.variety == "list":
         if t.builtin and options.check_values and t.builtin.check:
             errors.append(_error(~text.rlike(t.builtin.check), "value", path, _illegal(text, t, path)))
@@ -67,8 +67,8 @@ def simple(t: Simple, text: Column, path: str, options: Options) -> Value:
     shown = T.spaced_col(text, t.builtin.space) if t.builtin else text
     for f in t.steps:
         kind = t.builtin.kind if t.builtin and t.variety == "atomic" else "text"
-        for bad in FA.value_cols(f, kind, shown, value, is_list=t.variety == "list", date_facets=options.date_facets):
-            errors.append(_error(bad, "facet", path, F.concat(F.lit("facet violated by `"), text, F.lit(f"' at {path}#facet"))))
+        for bad, said in FA.value_cols(f, kind, shown, value, is_list=t.variety == "list", date_facets=options.date_facets):
+            errors.append(_error(bad, "facet", path, F.concat(said, F.lit(f" at {path}#facet"))))
     return value, errors
 
 
@@ -137,7 +137,7 @@ class NativeReader:
         """Value of an element that is there; ``c`` is its text, or its struct of texts."""
         t = e.type
         if isinstance(t, Simple):
-            text = F.coalesce(c[_VALUE], F.lit("")) if e.nillable else c
+            text = F.coalesce(c[_VALUE] if e.nillable else c, F.lit(""))  # an element that is there and empty comes as null
             nil = F.coalesce(c["_nil"].isin("true", "1"), F.lit(False)) if e.nillable else None
             return self._simple(e, t, text, nil, path)
         nil = F.coalesce(c["_nil"].isin("true", "1"), F.lit(False)) if e.nillable else None

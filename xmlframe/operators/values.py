@@ -34,7 +34,7 @@ def read_simple(t: Simple, text: str, path: str, options: Options, scope: Node |
             except (DataError, ValueError, ArithmeticError):
                 continue
             return T.squeezed(text) if m.builtin and m.builtin.kind != "text" else text
-        raise DataError("union", path, f"no match for `{text}' in union at {path}")
+        raise DataError("union", path, f"no match for `{text}' in union at {path}#union")
     for f in t.steps:
         text, wrong = lexical_error(f, _named(t, text, scope) if f.enumeration and t.builtin and t.builtin.kind == "qname" else T.squeezed(text) if t.variety == "list" and f.enumeration else text)
         if wrong:
@@ -71,7 +71,7 @@ def write_simple(t: Simple, value, path: str, options: Options, prefix=None) ->
                 return write_simple(m, value, path, options, prefix)
             except (DataError, ValueError, ArithmeticError):
                 continue
-        raise DataError("union", path, f"no match for `{value}' in union at {path}")
+        raise DataError("union", path, f"no match for `{value}' in union at {path}#union")
     if t.variety == "list":
         items = value if isinstance(value, (list, tuple)) else str(value).split()
         text = " ".join(write_simple(t.item, x, path, options, prefix) for x in items)

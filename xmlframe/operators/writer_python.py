@@ -117,7 +117,7 @@ class Writer:
                 value = value.get("_")
             text = write_simple(kind, value, path, self.options, self.prefixes.of)
             if e.fixed is not None and read_simple(kind, text, path, self.options) != read_simple(kind, e.fixed, path, self.options):
-                raise DataError("fixed", path, f"element `{e.local}' value must be fixed to `{e.fixed}', got `{text}' at {path}")
+                raise DataError("fixed", path, f"element `{e.local}' has value fixed to `{e.fixed}', got `{text}' at {path}")
             return _element(tag, extra, escape(text))
         return self._complex(kind, tag, extra, value, path)
 
@@ -150,15 +150,16 @@ class Writer:
         attrs = self._attributes(t, data, path, used)
         if t.any_attribute is not None and data.get(ANY_ATTRIBUTE):
             used.add(ANY_ATTRIBUTE)
+            declared = {(a.ns, a.local) for a in t.attributes}
             for name, x in sorted(dict(data[ANY_ATTRIBUTE]).items()):
                 ns, local = unpack_type(name)
-                if t.any_attribute.admits(ns):
+                if t.any_attribute.admits(ns) and (ns, local) not in declared:  # a wildcard also yields declared ones when read
                     attrs += f' {self.prefixes.tag(ns, local, True)}="{escape_attr(str(x))}"'
         rest = sorted(k for k, v in data.items() if k not in used and v is not None and not (k.endswith("__nil") and not v))
         asked = self.options.ignore_unused_tags
         rest = [k for k in rest if not (asked is True or isinstance(asked, str) and re.search(asked, k))]
         if rest:
-            raise Unused("unused", path, f"tag{'s' * (len(rest) > 1)} not used: {' '.join(rest)} at {path}")
+            raise Unused("unused", path, _unused(rest, path))
         return _element(tag, extra + attrs, inner)
 
     # -- particles
@@ -183,15 +184,17 @@ class Writer:
         rows = data.get(p.label)
         used.add(p.label)
         rows = [rows] if isinstance(rows, dict) else list(rows or ())
-        if len(rows) < p.min:
-            raise DataError("missing", path, f"too few blocks for `{p.label}', got {len(rows)} need {p.min} at {path}", misfit=not rows)
-        if p.max is not None and len(rows) > p.max:
-            raise DataError("occurs", path, f"too many blocks for `{p.label}', max {p.max} at {path}")
+        if not rows and p.min and p.max is None:
+            raise DataError("missing", path, f"no match for required block `{p.label}' at {path}", misfit=True)
+        if p.max == p.min and len(rows) < p.min:
+            raise DataError("missing", path, f"too few blocks for `{p.label}' specified, got {len(rows)} need {p.min} at {path}", misfit=True)
+        if len(rows) < p.min or p.max is not None and len(rows) > p.max:
+            raise DataError("occurs", path, f"found {len(rows)} blocks for `{p.label}', must be between {p.min} and {'unbounded' if p.max is None else p.max} inclusive at {path}", misfit=True)
         for row in rows:
             own: set[str] = set()
             self._group(p.term, row, parts, path, own)
             if rest := sorted(k for k, v in row.items() if k not in own and v is not None and not k.endswith("__nil")):
-                raise Unused("unused", path, f"tag{'s' * (len(rest) > 1)} not used: {' '.join(rest)} at {path}")
+                raise Unused("unused", path, _unused(rest, path))
         return bool(rows)
 
     def _group(self, g: Group, data: dict, parts: list[str], path: str, used: set[str]) -> bool:
@@ -240,7 +243,7 @@ class Writer:
         if p.many:
             items = list(value) if isinstance(value, (list, tuple)) else [] if value is None else [value]
             if p.max is not None and len(items) > p.max:
-                raise DataError("occurs", where, f"too many elements for `{e.key}', only {p.max} allowed, got {len(items)} at {path}")
+                raise DataError("occurs", where, f"too many elements for `{e.key}', max {p.max} found {len(items)} at {path}")
         else:
             if isinstance(value, (list, tuple)) and not (isinstance(e.type, Simple) and e.type.variety != "atomic"):
                 raise DataError("occurs", where, f"only one value for `{e.key}' allowed, got {len(value)} at {path}")
@@ -304,6 +307,10 @@ class Writer:
         return f' {self.prefixes.tag(a.ns, a.local, True)}="{escape_attr(text)}"'
 
 
+def _unused(rest: list[str], path: str) -> str:
+    return f"unused tags {' '.join(rest)} at {path}" if len(rest) > 1 else f"tag `{rest[0]}' not used at {path}"
+
+
 def _element(tag: str, attrs: str, inner: str) -> str:
     return f"<{tag}{attrs}>{inner}</{tag}>" if inner else f"<{tag}{attrs}/>"
 
