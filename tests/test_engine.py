@@ -188,3 +188,23 @@ def test_writer_errors():
     for data, text in (({}, "`id' missing"), ({"id": 1, "x": 2}, "tag `x' not used"), ({"id": "q"}, "illegal value `q'"), (5, "requires a record"), ({"id": [1, 2]}, "only one value")):
         with pytest.raises(DataError, match=text):
             write(data)
+
+
+def test_catalyst_writer_checks(spark):
+    own = schema(
+        '<simpleType name="small"><restriction base="int"><maxInclusive value="9"/></restriction></simpleType>'
+        '<element name="r"><complexType><sequence><element name="n" type="me:small" maxOccurs="2"/><element name="d" type="date" minOccurs="0"/>'
+        '<element name="f" type="string" fixed="x" minOccurs="0"/></sequence><attribute name="k" type="me:small" use="required"/></complexType></element>'
+    )
+    writer = own.writer(f"{{{T}}}r", prefixes={"p": T})
+    kind = "n array<int>, d string, f string, k int"
+    good = spark.createDataFrame([([1, 9], "2020-01-01", "x", 3)], kind)
+    assert good.select(writer.column(F.struct("*")).alias("x")).first().x == f'<p:r xmlns:p="{T}" k="3"><n>1</n><n>9</n><d>2020-01-01</d><f>x</f></p:r>'
+    for row, text in (
+        (([10], None, None, 1), "too large inclusive 10, max 9"), (([1, 2, 3], None, None, 1), "too many elements for `n', max 2 found 3"), (([], None, None, 1), "`n' missing"),
+        (([1], "2020-1-1", None, 1), "illegal value `2020-1-1'"), (([1], None, "y", 1), "has value fixed to `x', got `y'"), (([1], None, None, None), "attribute `k' is required"), (([1], None, None, 10), "too large inclusive 10"),
+    ):
+        df = spark.createDataFrame([row], kind)
+        for python in (False, True):
+            with pytest.raises(Exception, match=text):
+                df.select(writer.column(F.struct("*"), python=python)).collect()

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from xmlframe.functions import facets as FA
 from xmlframe.functions import types as T
+from xmlframe.operators.reader_native import simple
 from xmlframe.operators.writer_python import Prefixes
 from xmlframe.plans.model import Complex, Element, Group, Options, Particle, Simple, Wildcard
 from xmlframe.sources.xml import escape_attr
@@ -22,7 +24,10 @@ def escaped(text: Column, attribute: bool = False) -> Column:
 
 
 class NativeWriter:
-    """``column(data)`` gives the text of a message. Values are taken as they are: facets are checked by reading or by ``Writer``."""
+    """``column(data)`` gives the text of a message; a violation raises its message.
+
+    Facets, occurrence and the form of texts (dates, names) are checked. Numbers and booleans come from typed columns, so their form is not.
+    """
 
     def __init__(self, root: Element, options: Options) -> None:
         self.root, self.options = root, options
@@ -52,39 +57,50 @@ class NativeWriter:
         tag = self.prefixes.tag(e.ns, e.local)
         kind = [F.lit(self._type_of(t))] if self.options.xsi_type_everywhere and t.name and not t.name.startswith("unnamed") else []
         if isinstance(t, Simple):
-            return self._tagged(tag, kind, escaped(self._text(t, value)), root)
+            return self._tagged(tag, kind, escaped(self._text(t, value, path)), root)
         if t.simple is not None:
-            attrs = [self._attribute(a, value) for a in t.attributes if a.use != "prohibited"]
-            return self._tagged(tag, kind + attrs, escaped(self._text(t.simple, value["_"])), root)
+            attrs = [self._attribute(a, value, path) for a in t.attributes if a.use != "prohibited"]
+            return self._tagged(tag, kind + attrs, escaped(self._text(t.simple, value["_"], path)), root)
         parts = self._particle(t.content, value, path) if t.content is not None else []
-        attrs = [self._attribute(a, value) for a in t.attributes if a.use != "prohibited"]
+        attrs = [self._attribute(a, value, path) for a in t.attributes if a.use != "prohibited"]
         return self._tagged(tag, kind + attrs, F.concat(*parts) if parts else F.lit(""), root)
 
     def _type_of(self, t: Simple | Complex) -> str:
         ns, _, local = t.name[1:].partition("}") if t.name.startswith("{") else ("", "", t.name)
         return f' {self.prefixes.tag(T.XSI, "type", True)}="{self.prefixes.tag(ns, local)}"'
 
-    def _text(self, t: Simple, value: Column) -> Column:
+    def _text(self, t: Simple, value: Column, path: str) -> Column:
         if t.variety == "list":
-            return F.array_join(F.transform(value, lambda x: self._text(t.item, x)), " ")
-        if t.variety == "union":
-            return value.cast("string")
-        if t.builtin.kind == "qname" or t.blocked:
+            text = F.array_join(F.transform(value, lambda x: self._text(t.item, x, path)), " ")
+        elif t.variety == "union":
+            text = value.cast("string")
+        elif t.builtin.kind == "qname" or t.blocked:
             raise NotNative("qualified names need the Python writer")
-        return T.text_col(t.builtin, value)
-
-    def _attribute(self, a, data: Column) -> Column:
-        value = data[a.key]
+        else:
+            text = T.text_col(t.builtin, value)
+        for f in t.steps:
+            text = FA.space_col(f, text)
+        formed = t.variety == "atomic" and t.builtin.check and t.builtin.kind in ("text", "date", "time", "duration")
+        if not (t.steps or t.variety == "union" or formed and self.options.check_values):
+            return text
+        wrong = F.concat(*simple(t, text, path, self.options)[1])
+        return F.when(F.size(wrong) > 0, F.raise_error(F.get(wrong, F.lit(0))["message"]).cast("string")).otherwise(text)
+
+    def _attribute(self, a, data: Column, path: str) -> Column:
+        value, where = data[a.key], f"{path}/@{a.local}"
         if a.default is not None and self.defaults == "EXTEND":
-            value = F.coalesce(self._text(a.type, value), F.lit(a.default))
+            value = F.coalesce(self._text(a.type, value, where), F.lit(a.default))
         else:
-            value = self._text(a.type, value)
+            value = self._text(a.type, value, where)
         if a.default is not None and self.defaults == "MINIMAL":
             value = F.when(value != a.default, value)
         tag = self.prefixes.tag(a.ns, a.local, True)
+        if a.fixed is not None:
+            message = F.concat(F.lit(f"value of attribute `{a.local}' is fixed to `{a.fixed}', not `"), value, F.lit(f"' at {where}"))
+            value = F.when(value != a.fixed, F.raise_error(message).cast("string")).otherwise(value)
         text = F.when(value.isNotNull(), F.concat(F.lit(f' {tag}="'), escaped(value, True), F.lit('"')))
         if a.use == "required":
-            missing = F.raise_error(f"attribute `{a.local}' is required").cast("string")
+            missing = F.raise_error(f"attribute `{a.local}' is required at {where}").cast("string")
             return F.when(value.isNull(), missing).otherwise(text)
         return F.coalesce(text, F.lit(""))
 
@@ -99,7 +115,7 @@ class NativeWriter:
                 return parts
             rows = data[p.label]
             each = lambda r: F.concat(*(x for q in p.term.particles for x in self._particle(q if p.term.kind != "choice" else Particle(q.term, 0, q.max, q.label), r, path)))
-            return [F.coalesce(F.array_join(F.transform(rows, each), ""), F.lit(""))]
+            return [self._counted(p, rows, F.coalesce(F.array_join(F.transform(rows, each), ""), F.lit("")), "blocks", p.label, path)]
         e = p.term
         where = f"{path}/{e.local}"
         value = data[e.key]
@@ -108,13 +124,17 @@ class NativeWriter:
                 text = F.transform(value, lambda x: F.when(x["nil"], self._nil(e)).otherwise(self._one(e, x["_"], where)))
             else:
                 text = F.transform(value, lambda x: self._one(e, x, where))
-            return [F.coalesce(F.array_join(text, ""), F.lit(""))]
+            return [self._counted(p, value, F.coalesce(F.array_join(text, ""), F.lit("")), "elements", e.key, path)]
         text = self._one(e, value, where)
+        if isinstance(e.type, Simple) and e.fixed is not None:
+            own = self._text(e.type, value, where)
+            message = F.concat(F.lit(f"element `{e.local}' has value fixed to `{e.fixed}', got `"), own, F.lit(f"' at {where}"))
+            text = F.when(own != e.fixed, F.raise_error(message).cast("string")).otherwise(text)
         if isinstance(e.type, Simple) and e.default is not None:
             if self.defaults == "EXTEND" and p.min:
                 text = F.when(value.isNull(), self._one(e, F.lit(e.default), where)).otherwise(text)
             elif self.defaults == "MINIMAL":
-                text = F.when(self._text(e.type, value) != e.default, text)
+                text = F.when(self._text(e.type, value, where) != e.default, text)
         shown = F.when(value.isNotNull() | F.lit(bool(e.default is not None and self.defaults == "EXTEND" and p.min)), text)
         if e.nillable and self.options.nil_mode == "flag":
             shown = F.when(F.coalesce(data[f"{e.key}__nil"], F.lit(False)), self._nil(e)).otherwise(shown)
@@ -123,5 +143,16 @@ class NativeWriter:
             return [F.when(value.isNull(), missing).otherwise(shown)]
         return [F.coalesce(shown, F.lit(""))]
 
+    def _counted(self, p: Particle, rows: Column, text: Column, what: str, key: str, path: str) -> Column:
+        """``text``, unless there are too few or too many."""
+        n = F.when(rows.isNull(), 0).otherwise(F.size(rows))
+        if p.max is not None:
+            said = f"too many elements for `{key}', max {p.max} found " if what == "elements" else f"found more than {p.max} blocks for `{key}': "
+            text = F.when(n > p.max, F.raise_error(F.concat(F.lit(said), n.cast("string"), F.lit(f" at {path}"))).cast("string")).otherwise(text)
+        if p.min:
+            said = f"required value for element `{key}' missing at {path}" if what == "elements" else f"no match for required block `{key}' at {path}"
+            text = F.when(n < p.min, F.raise_error(said).cast("string")).otherwise(text)
+        return text
+
     def _nil(self, e: Element) -> Column:
         return F.lit(f'<{self.prefixes.tag(e.ns, e.local)} {self.prefixes.tag(T.XSI, "nil", True)}="true"/>')
