@@ -144,7 +144,11 @@ class CompiledReader:
         FAILFAST raises the first violation, PERMISSIVE gives null data and adds ``errors``, DROPMALFORMED leaves violators out.
         """
         ship(df.sparkSession)
-        own = df.withColumn("_read", self.column(F.col(xml)))
+        if self.native:  # parse in a projection of its own: all expressions on the parsed column are then compiled code
+            native = NativeReader(self.element, self.options)
+            own = df.withColumn("_texts", native.texts(F.col(xml))).withColumn("_read", native.result(F.col(xml), F.col("_texts")))
+        else:
+            own = df.withColumn("_read", self.column(F.col(xml)))
         if mode == "DROPMALFORMED":
             own = own.where(F.size("_read.errors") == 0)
         data = F.col("_read.data")

@@ -6,7 +6,8 @@ one would replace the first. Violations become an array of (code, path, message)
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,16 +23,38 @@ ERROR = S.StructType([S.StructField("code", S.StringType()), S.StructField("path
 _VALUE, _ANY = "_VALUE", "xs_any"
 _READ = {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": _VALUE, "ignoreSurroundingSpaces": "false", "wildcardColName": _ANY, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
 
-Value = tuple[Column, list[Column]]  # the value; arrays of errors
+class Error(NamedTuple):
+    """A possible violation: the condition and what to report, or (without a condition) an array of reports."""
 
+    bad: Column | None
+    report: Column
 
-def _error(bad: Column, code: str, path: str, message: Column | str) -> Column:
+
+Value = tuple[Column, list[Error]]
+
+
+def _none() -> Column:
+    return F.array().cast(S.ArrayType(ERROR))
+
+
+def _error(bad: Column, code: str, path: str, message: Column | str) -> Error:
     text = F.lit(message) if isinstance(message, str) else message
-    return F.when(F.coalesce(bad, F.lit(False)), F.array(F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"), text.alias("message")))).otherwise(F.array().cast(S.ArrayType(ERROR)))
+    return Error(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"), text.alias("message")))
+
 
+def _only(where: Column, errors: list[Error]) -> list[Error]:
+    """The errors, as far as the (never null) condition holds."""
+    return [Error(None, F.when(where, e.report).otherwise(_none())) if e.bad is None else Error(where & e.bad, e.report) for e in errors]
 
-def _joined(errors: list[Column]) -> Column:
-    return F.concat(*errors) if errors else F.array().cast(S.ArrayType(ERROR))
+
+def joined(errors: list[Error]) -> Column:
+    """All violations of a row. Reports are built for rows with a violation only; other rows see one condition."""
+    single = [e for e in errors if e.bad is not None]
+    parts = [e.report for e in errors if e.bad is None]
+    if single:
+        some = F.concat(*(F.when(e.bad, F.array(e.report)).otherwise(_none()) for e in single))
+        parts.insert(0, F.when(reduce(lambda a, b: a | b, (e.bad for e in single)), some).otherwise(_none()))
+    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else _none()
 
 
 def simple(t: Simple, text: Column, path: str, options: Options) -> Value:
@@ -41,10 +64,10 @@ def simple(t: Simple, text: Column, path: str, options: Options) -> Value:
         for m in t.members:
             _, errors = simple(m, text, path, options)
             squeezed = FA.space_col(FA.Facets(space="collapse"), text) if m.builtin and m.builtin.kind != "text" else text
-            fits.append(F.when(F.size(_joined(errors)) == 0, squeezed))
+            fits.append(F.when(F.size(joined(errors)) == 0, squeezed))
         value = F.coalesce(*fits)
         return value, [_error(text.isNotNull() & value.isNull(), "union", path, F.concat(F.lit("no match for `"), text, F.lit(f"' in union at {path}#union")))]
-    errors: list[Column] = []
+    errors: list[Error] = []
     for f in t.steps:
         text = FA.space_col(f, text)
         seen = FA.space_col(FA.Facets(space="collapse"), text) if t.variety == "list" else text
@@ -56,7 +79,7 @@ def simple(t: Simple, text: Column, path: str, options: Options) -> Value:
         trimmed = FA.space_col(FA.Facets(space="collapse"), text)
         items = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
         value = F.transform(items, lambda x: simple(t.item, x, path, options)[0])
-        errors.append(F.coalesce(F.flatten(F.transform(items, lambda x: _joined(simple(t.item, x, path, options)[1]))), F.array().cast(S.ArrayType(ERROR))))
+        errors.append(Error(None, F.coalesce(F.flatten(F.transform(items, lambda x: joined(simple(t.item, x, path, options)[1]))), _none())))
     else:
         b = t.builtin
         if options.check_values and (ok := T.valid_col(b, text)) is not None:
@@ -112,26 +135,32 @@ class NativeReader:
             fields[p.term.local] = S.ArrayType(self._texts(p.term))
 
     # -- the value
-    def column(self, xml: Column) -> Column:
+    def texts(self, xml: Column) -> Column:
+        """The parsed message, all leaves as texts."""
         texts = self._texts(self.root)
-        flat = not isinstance(texts, S.StructType)
-        record = S.StructType([S.StructField(_VALUE, S.StringType())]) if flat else texts
-        record = S.StructType([*record.fields, S.StructField("_broken", S.StringType())])
-        read = F.from_xml(xml, record, _READ)
-        # A struct built once: all expressions below refer to one parse.
-        return F.transform(F.array(read), lambda r: self._row(xml, r, flat))[0]
-
-    def _row(self, xml: Column, r: Column, flat: bool) -> Column:
+        own = texts.fields if isinstance(texts, S.StructType) else [S.StructField(_VALUE, S.StringType())]
+        return F.from_xml(xml, S.StructType([*own, S.StructField("_broken", S.StringType())]), _READ)
+
+    def column(self, xml: Column) -> Column:
+        """Struct (data, errors) in one expression. The parse is bound to a lambda, so it happens once; ``result`` on a parsed column is faster."""
+        return F.transform(F.array(self.texts(xml)), lambda r: self.result(xml, r))[0]
+
+    def result(self, xml: Column, r: Column) -> Column:
+        """Struct (data, errors) from the message and its parsed form."""
         e = self.root
+        flat = not isinstance(self._texts(e), S.StructType)
         local = F.regexp_extract(xml, r"^\s*(?:<\?[^>]*>\s*|<!--(?s:.*?)-->\s*)*<(?:[\w.\-]+:)?([\w.\-]+)", 1)
-        broken = r.isNull() | r["_broken"].isNotNull()
+        there = xml.isNotNull()
+        broken = F.coalesce(there & (r.isNull() | r["_broken"].isNotNull()), F.lit(False))
+        other = F.coalesce(there & ~broken & (local != e.local), F.lit(False))
         value, errors = self._value(e, r[_VALUE] if flat else r, e.path)
         wrong = [
-            _error(xml.isNotNull() & broken, "xml", e.path, "not well-formed"),
-            _error(xml.isNotNull() & ~broken & (local != e.local), "root", e.path, F.concat(F.lit("data not recognized, found a `"), local, F.lit("'"))),
+            _error(broken, "xml", e.path, "not well-formed"),
+            _error(other, "root", e.path, F.concat(F.lit("data not recognized, found a `"), local, F.lit("'"))),
+            *_only(there & ~broken & ~other, errors),
         ]
-        every = F.concat(*wrong, F.when(broken | (local != e.local), F.array().cast(S.ArrayType(ERROR))).otherwise(_joined(errors)))
-        return F.struct(F.when(F.size(every) == 0, value).alias("data"), every.alias("errors"))
+        every = joined(wrong)
+        return F.struct(F.when(there & (F.size(every) == 0), value).alias("data"), every.alias("errors"))
 
     def _value(self, e: Element, c: Column, path: str) -> Value:
         """Value of an element that is there; ``c`` is its text, or its struct of texts."""
@@ -142,7 +171,7 @@ class NativeReader:
             return self._simple(e, t, text, nil, path)
         nil = F.coalesce(c["_nil"].isin("true", "1"), F.lit(False)) if e.nillable else None
         fields: dict[str, Column] = {}
-        errors: list[Column] = []
+        errors: list[Error] = []
         if t.simple is not None:
             value, wrong = simple(t.simple, F.coalesce(c[_VALUE], F.lit("")), path, self.options)
             fields["_"] = value
@@ -156,7 +185,7 @@ class NativeReader:
             errors += self._attribute(a, c["_" + a.local], path, fields)
         value = F.struct(*(v.alias(k) for k, v in fields.items())) if fields else F.struct()
         if nil is not None:
-            errors = [F.when(nil, F.array().cast(S.ArrayType(ERROR))).otherwise(x) for x in errors]
+            errors = _only(~nil, errors)
             value = F.when(~nil, value)
         return value, errors
 
@@ -165,21 +194,21 @@ class NativeReader:
         if e.default is not None:
             given = self._literal(t, e.default) if self.defaults == "EXTEND" else F.lit(None)
             value = F.when(text == "", given).otherwise(value)
-            errors = [F.when(text == "", F.array().cast(S.ArrayType(ERROR))).otherwise(x) for x in errors]
+            errors = _only(text != "", errors)
             if self.defaults == "MINIMAL":
                 value = F.when(value != self._literal(t, e.default), value)
         if e.fixed is not None:
             message = F.concat(F.lit(f"element `{e.local}' must have fixed value `{e.fixed}', got `"), text, F.lit(f"' at {path}"))
             errors.append(_error(value != self._literal(t, e.fixed), "fixed", path, message))
         if nil is not None:
-            errors = [F.when(nil, F.array().cast(S.ArrayType(ERROR))).otherwise(x) for x in errors]
+            errors = _only(~nil, errors)
             value = F.when(nil, F.lit("NIL")).otherwise(value.cast("string")) if self.options.nil_mode == "string" else F.when(~nil, value)
         return value, errors
 
     def _literal(self, t: Simple, text: str) -> Column:
         return F.lit(read_simple(t, text, "", self.options)).cast(self.shape.type(t))
 
-    def _attribute(self, a: Attribute, text: Column, path: str, fields: dict[str, Column]) -> list[Column]:
+    def _attribute(self, a: Attribute, text: Column, path: str, fields: dict[str, Column]) -> list[Error]:
         where = f"{path}/@{a.local}"
         if a.use == "prohibited":
             return [_error(text.isNotNull(), "attribute", where, f"attribute `{a.local}' is prohibited at {where}")]
@@ -198,7 +227,7 @@ class NativeReader:
         fields[a.key] = value
         return errors
 
-    def _particle(self, p: Particle, c: Column, path: str, fields: dict[str, Column], optional: bool = False) -> list[Column]:
+    def _particle(self, p: Particle, c: Column, path: str, fields: dict[str, Column], optional: bool = False) -> list[Error]:
         if isinstance(p.term, Group):
             g, errors = p.term, []
             loose = optional or p.min == 0 or g.kind == "choice"
@@ -214,7 +243,7 @@ class NativeReader:
         where, count = f"{path}/{e.local}", F.coalesce(F.size(c[p.term.local]), F.lit(0))
         count = F.when(own.isNull(), 0).otherwise(count)
         least = 0 if optional or not self.options.check_occurs else p.min
-        errors: list[Column] = []
+        errors: list[Error] = []
         if p.max == 0:
             return [_error(count > 0, "leftover", where, f"element `{e.local}' not processed for {path}")]
         given = e.default if self.defaults == "EXTEND" else None
@@ -224,15 +253,13 @@ class NativeReader:
         if p.max is not None and self.options.check_occurs:
             errors.append(_error(count > p.max, "leftover", where, f"element `{e.local}' not processed for {path}"))
         if p.many:
-            each: Callable[[Column], Value] = lambda x: self._value(e, x, where)
-            fields[e.key] = F.when(count > 0, F.transform(own, lambda x: self._item(e, x, each(x)[0])))
-            wrong = F.flatten(F.transform(own, lambda x: _joined(each(x)[1])))
-            errors.append(F.coalesce(wrong, F.array().cast(S.ArrayType(ERROR))))
+            fields[e.key] = F.when(count > 0, F.transform(own, lambda x: self._item(e, x, self._value(e, x, where)[0])))
+            wrong = F.flatten(F.transform(own, lambda x: joined(self._value(e, x, where)[1])))
+            errors.append(Error(None, F.coalesce(wrong, _none())))
             return errors
         first = F.get(own, F.lit(0))
         value, wrong = self._value(e, first, where)
-        empty = F.array().cast(S.ArrayType(ERROR))
-        errors += [F.when(count > 0, x).otherwise(empty) for x in wrong]
+        errors += _only(count > 0, wrong)
         value = F.when(count > 0, value)
         if least and given is not None and isinstance(e.type, Simple):
             value = F.when(count > 0, value).otherwise(self._literal(e.type, given))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from xmlframe.functions import facets as FA
 from xmlframe.functions import types as T
-from xmlframe.operators.reader_native import simple
+from xmlframe.operators.reader_native import joined, simple
 from xmlframe.operators.writer_python import Prefixes
 from xmlframe.plans.model import Complex, Element, Group, Options, Particle, Simple, Wildcard
 from xmlframe.sources.xml import escape_attr
@@ -83,7 +83,7 @@ class NativeWriter:
         formed = t.variety == "atomic" and t.builtin.check and t.builtin.kind in ("text", "date", "time", "duration")
         if not (t.steps or t.variety == "union" or formed and self.options.check_values):
             return text
-        wrong = F.concat(*simple(t, text, path, self.options)[1])
+        wrong = joined(simple(t, text, path, self.options)[1])
         return F.when(F.size(wrong) > 0, F.raise_error(F.get(wrong, F.lit(0))["message"]).cast("string")).otherwise(text)
 
     def _attribute(self, a, data: Column, path: str) -> Column:

@@ -152,7 +152,7 @@ def needs_order(t: Complex, options: Options, seen: tuple = ()) -> str | None:
                 return "repeated block"
             if p.term.kind == "choice" and any(isinstance(x.term, Group) for x in p.term.particles):
                 return "blocks in a choice"
-            if p.min == 0 and len(p.term.particles) > 1:
+            if p.min == 0 and options.check_occurs and len(p.term.particles) > 1:
                 return "optional block"
             if p.term.kind == "sequence" and options.order_check and len(p.term.particles) > 1:
                 return "order of a sequence"
