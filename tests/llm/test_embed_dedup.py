@@ -27,7 +27,7 @@ def test_against_brute_force(spark):
     copies = np.repeat(base[5:6], 60, axis=0)
     x = np.concatenate((base, near, dense, copies)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), 7) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
-    out = {r.vec_id: r for r in embed_dedup.near_duplicates(df).collect()}
+    out = {r.vec_id: r for r in embed_dedup.near_duplicates(df, per_cell=32).collect()}
     truth = brute(x.astype(np.float64))
     degree, root = truth.sum(axis=1), roots(truth)
     got = np.array([out[i].n_links for i in range(len(x))])

@@ -4,7 +4,7 @@ Unit vectors are cut in two halves, each with its own codebook; the pairs of cod
 vector lies in the cell of its two nearest codes. A search walks the cells by rising distance (the sum of the squared
 distances of the halves to the cell's codes). In the two sorted code lists the cells walked so far form a staircase,
 so the walk up to a distance is found by a search in one list for each entry of the other. It goes as far beyond the own
-cell as the target recall needs on a bounded sample, and compares with every vector in the cells it meets.
+cell as the target recall needs for links at the threshold, measured on a bounded sample, and compares with every vector in the cells it meets.
 
 A pair is found when either of the two walks meets the other's cell, and is counted once: both know whether the other's walk
 met them. Exact copies are one class. Cells are split into blocks of bounded size on both sides, each pair of blocks is
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from xmlframe.llm.common import components, ship, written
 
-HOME_BLOCK, WALK_BLOCK = 512, 2048
+HOME_BLOCK, WALK_BLOCK = 512, 1024
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -73,36 +73,19 @@ class Index:
         return rows * len(self.second) + cols
 
 
-def _hardest(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each row with links its linked row of lowest cosine."""
-    q, p = [], []
-    for at in range(0, len(x), 1024):
-        c = x[at : at + 1024] @ x.T
-        c[np.arange(len(c)), at + np.arange(len(c))] = -1
-        c[c < threshold] = 2
-        low = c.argmin(axis=1)
-        found = c[np.arange(len(c)), low] <= 1.5
-        q.append(at + np.flatnonzero(found))
-        p.append(low[found])
-    return np.concatenate(q), np.concatenate(p)
+def build(sample: np.ndarray, codes: int, threshold: float, recall: float, seed: int, pairs: int = 4000) -> Index:
+    """Codebooks on the sample's halves, and the slack that reaches the recall for the hardest links there are.
 
-
-def build(sample: np.ndarray, codes: int, threshold: float, recall: float, seed: int) -> Index:
-    """Codebooks on the sample's halves, and the slack with which the sample's hardest links reach the recall.
-
-    Where the sample holds too few links, vectors at exactly the threshold from sample vectors stand in for them.
+    These are vectors at exactly the threshold from sample vectors, in random directions: whatever links the data hold,
+    and however many of them the sample shows, a walk goes as far.
     """
     half = sample.shape[1] // 2
     index = Index(codebook(sample[:, :half], codes, seed), codebook(sample[:, half:], codes, seed + 1))
-    q, p = _hardest(sample, threshold)
-    a, b = sample[q], sample[p]
-    if len(q) < 500:
-        rng = np.random.default_rng(seed + 2)
-        base = sample[rng.integers(0, len(sample), 2000)]
-        side = rng.normal(size=base.shape)
-        side = unit(side - (side * base).sum(axis=1, keepdims=True) * base)
-        a = np.concatenate((a, base))
-        b = np.concatenate((b, threshold * base + math.sqrt(1 - threshold**2) * side))
+    rng = np.random.default_rng(seed + 2)
+    a = sample[rng.integers(0, len(sample), pairs)]
+    side = rng.normal(size=a.shape)
+    side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    b = threshold * a + math.sqrt(1 - threshold**2) * side
     da, db = index.distances(a), index.distances(b)
     beyond = []
     for d, e in ((da, db), (db, da)):
@@ -148,11 +131,11 @@ def _compare(home: pa.Table, walk: pa.Table, index: Index, threshold: float) ->
     return ids.tolist(), links.astype(np.int64).tolist(), ids[_roots(len(ids), a, b)].tolist()
 
 
-def near_duplicates(df: DataFrame, *, row_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = 0.995, sample_rows: int = 8192, per_cell: int = 32, most_codes: int = 256, seed: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, *, row_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = 0.99, sample_rows: int = 8192, per_cell: int = 512, most_codes: int = 256, seed: int = 3) -> DataFrame:
     """(row_id, n_links, component_id, kept) for every row of ``df``.
 
     Links join vectors whose cosine in double precision is ``threshold`` or more; none below it is given, and the share
-    found is calibrated to ``recall`` on a sample of at most ``sample_rows`` classes, which also trains the codebooks. n_links counts
+    found is calibrated to ``recall`` or more on a sample of at most ``sample_rows`` classes, which also trains the codebooks. n_links counts
     the other rows linked directly, exact copies included; component_id is the smallest id reachable, itself included.
 
     Vectors that are null, empty or zero, hold null or non-finite components or have another length than most, and rows without
