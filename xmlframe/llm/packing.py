@@ -53,20 +53,20 @@ def combinations(window: int, depth: int) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """min |a x - b| over x >= 0: active sets, with the normal equations formed once."""
-    gram, rhs = a.T @ a, a.T @ b
+    """min |a x - b| over x >= 0 by active sets. Needs room for ``a`` and a few of its columns, not for their products."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
-    slack = 1e-9 * max(1.0, float(np.abs(rhs).max(initial=0.0)))
+    slack = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0.0)))
     for _ in range(rounds):
-        gradient = np.where(passive, -np.inf, rhs - gram @ x)
+        gradient = np.where(passive, -np.inf, a.T @ (b - a @ x))
         j = int(gradient.argmax())
         if gradient[j] <= slack:
             break
         passive[j] = True
         while True:
             own = np.flatnonzero(passive)
-            goal = np.linalg.lstsq(gram[np.ix_(own, own)], rhs[own], rcond=None)[0]
+            part = a[:, own]
+            goal = np.linalg.lstsq(part.T @ part, part.T @ b, rcond=None)[0]
             if (goal > 0).all():
                 x[:] = 0
                 x[own] = goal
