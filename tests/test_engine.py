@@ -33,24 +33,30 @@ GOOD = [order(1), order(2, 0, "n"), order(3, 3)]
 BAD = ["<p:order xmlns:p='urn:t'><id>x</id></p:order>", "<order/>", "no xml", "<p:order xmlns:p='urn:t'><note>a</note><id>1</id></p:order>"]
 
 
-@pytest.mark.parametrize("ordered", [True, False])
+@pytest.mark.parametrize("ordered", ["python", True, False])
 def test_modes(spark, ordered):
     reader = schema().reader(f"{{{T}}}order", order_check=ordered)
-    assert reader.native is not ordered
+    assert reader.native is (ordered != "python")
     df = spark.createDataFrame([(x,) for x in [*GOOD, *BAD[:3], None]], "xml string")
     rows = reader.frame(df, mode="PERMISSIVE").collect()
     assert [r.id for r in rows] == [1, 2, 3, None, None, None, None]
-    assert [(r.errors[0].code if r.errors else None) for r in rows] == [None, None, None, "value", "root" if ordered else rows[4].errors[0].code, "xml", None]
+    assert [(r.errors[0].code if r.errors else None) for r in rows] == [None, None, None, "value", "root" if ordered == "python" else rows[4].errors[0].code, "xml", None]
     assert [(x.sku, x.qty) for x in rows[0].line] == [("s0 & co", 0), ("s1 & co", 1)] and rows[1].note == "n" and rows[0].day == "2020-01-01"
     assert reader.frame(df.where("xml is not null"), mode="DROPMALFORMED").count() == 3
     with pytest.raises(Exception, match="illegal value `x' for type"):
         reader.frame(df.where("xml like '%>x<%'")).collect()
 
 
-def test_order_needs_the_python_tier(spark):
+def test_order_in_both_tiers(spark):
     df = spark.createDataFrame([(BAD[3],)], "xml string")
     own = schema()
-    assert own.reader(f"{{{T}}}order").frame(df, mode="PERMISSIVE").first().errors
+    for check, code in ((True, "order"), ("python", "missing")):
+        assert own.reader(f"{{{T}}}order", order_check=check).frame(df, mode="PERMISSIVE").first().errors[0].code == code
+    swapped = GOOD[0].replace("<sku>s1 &amp; co</sku><qty>1</qty>", "<qty>1</qty><sku>s1</sku>")  # inside a repeated element
+    mixed = spark.createDataFrame([(x,) for x in (*GOOD, swapped, swapped.replace("p:order", "order").replace("xmlns:p", "xmlns"))], "xml string")
+    for check in (True, "python"):
+        out = own.reader(f"{{{T}}}order", order_check=check).frame(mixed, mode="PERMISSIVE").collect()
+        assert [bool(r.errors) for r in out] == [False, False, False, True, True]
     assert own.reader(f"{{{T}}}order", order_check=False).frame(df, mode="PERMISSIVE").first().id == 1
 
 

@@ -17,7 +17,7 @@ from xmlframe.functions import facets as FA
 from xmlframe.functions import types as T
 from xmlframe.operators.values import read_simple
 from xmlframe.plans.model import Attribute, Complex, Element, Group, Options, Particle, Simple
-from xmlframe.plans.shape import Shape
+from xmlframe.plans.shape import Shape, out_of_order
 
 ERROR = S.StructType([S.StructField("code", S.StringType()), S.StructField("path", S.StringType()), S.StructField("message", S.StringType())])
 _VALUE, _ANY = "_VALUE", "xs_any"
@@ -158,10 +158,19 @@ class NativeReader:
             _error(broken, "xml", e.path, "not well-formed"),
             _error(other, "root", e.path, F.concat(F.lit("data not recognized, found a `"), local, F.lit("'"))),
             *_only(there & ~broken & ~other, errors),
+            *self._order(xml, there & ~broken & ~other),
         ]
         every = joined(wrong)
         return F.struct(F.when(there & (F.size(every) == 0), value).alias("data"), every.alias("errors"))
 
+    def _order(self, xml: Column, sound: Column) -> list[Error]:
+        """Elements before others that have to come first: arrays by name have lost that, so XPath looks at the message itself."""
+        e = self.root
+        if not self.options.order_check or not isinstance(e.type, Complex) or not (found := out_of_order(e.type)):
+            return []
+        bad = F.when(sound, F.xpath_boolean(xml, F.lit(f"boolean({' | '.join(found)})")))
+        return [_error(bad, "order", e.path, f"elements of {e.path} aren't in the order of its sequence")]
+
     def _value(self, e: Element, c: Column, path: str) -> Value:
         """Value of an element that is there; ``c`` is its text, or its struct of texts."""
         t = e.type

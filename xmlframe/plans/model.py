@@ -136,7 +136,7 @@ class Options:
     xsi_type_everywhere: bool = False
     date_facets: str = "lexical"
     nil_mode: str = "flag"  # flag, null, string
-    order_check: bool = True
+    order_check: bool | str = True  # or python: in document order, with the exact message
     max_depth: int = 3
 
     def __post_init__(self) -> None:

@@ -154,7 +154,7 @@ def needs_order(t: Complex, options: Options, seen: tuple = ()) -> str | None:
                 return "blocks in a choice"
             if p.min == 0 and options.check_occurs and len(p.term.particles) > 1:
                 return "optional block"
-            if p.term.kind == "sequence" and options.order_check and len(p.term.particles) > 1:
+            if p.term.kind == "sequence" and options.order_check and len(p.term.particles) > 1 and (options.order_check == "python" or not _distinct(p)):
                 return "order of a sequence"
             return next((w for x in p.term.particles if (w := of_particle(x, False))), None)
         e = p.term
@@ -173,5 +173,41 @@ def needs_order(t: Complex, options: Options, seen: tuple = ()) -> str | None:
     return (t.simple and of_type(t.simple)) or (t.content and of_particle(t.content, True)) or None
 
 
+def ranks(p: Particle) -> list[list[str]]:
+    """Local names in the order in which a block wants them; those of a choice or an all block share a place."""
+    if isinstance(p.term, Element):
+        return [[p.term.local]]
+    if isinstance(p.term, Group):
+        parts = [r for x in p.term.particles for r in ranks(x)]
+        return parts if p.term.kind == "sequence" else [[n for r in parts for n in r]]
+    return []
+
+
+def _distinct(p: Particle) -> bool:
+    names = [n for r in ranks(p) for n in r]
+    return len(names) == len(set(names))
+
+
+def out_of_order(t: Complex, path: str = "/*") -> list[str]:
+    """XPath expressions for elements that stand before one that has to come first, in a message and what it holds."""
+    if t.content is None:
+        return []
+    out, before = [], []
+    is_named = lambda names: " or ".join(f"local-name()='{n}'" for n in names)
+    for names in ranks(t.content):
+        if before:
+            out.append(f"{path}/*[{is_named(names)}][following-sibling::*[{is_named(before)}]]")
+        before = before + names
+
+    def inner(p: Particle) -> None:
+        if isinstance(p.term, Element) and isinstance(p.term.type, Complex):
+            out.extend(out_of_order(p.term.type, f"{path}/*[local-name()='{p.term.local}']"))
+        for x in p.term.particles if isinstance(p.term, Group) else ():
+            inner(x)
+
+    inner(t.content)
+    return out
+
+
 def uses_qname(t: Simple) -> bool:
     return bool(t.builtin and t.builtin.kind == "qname") or bool(t.item and uses_qname(t.item)) or any(uses_qname(m) for m in t.members)

@@ -91,6 +91,11 @@ def rd_sequence(spark, d):
     return read(table(spark, d, "region"), root("region", leaf("r_regionkey"), leaf("r_name")), schema(REGION), "region")
 
 
+@query("rd_sequence_python", "SELECT r_regionkey, r_name FROM region")
+def rd_sequence_python(spark, d):
+    return read(table(spark, d, "region"), root("region", leaf("r_regionkey"), leaf("r_name")), schema(REGION), "region", order_check="python")
+
+
 @query("rd_sequence_native", "SELECT r_regionkey, r_name FROM region")
 def rd_sequence_native(spark, d):
     return read(table(spark, d, "region"), root("region", leaf("r_regionkey"), leaf("r_name")), schema(REGION), "region", order_check=False)
@@ -282,11 +287,12 @@ def rd_group(spark, d):
 SEQ_PART = record("part", elements("p_partkey:long", "p_name:string", "p_size:int"))
 
 
-@query("rd_order_violation", "SELECT p_partkey AS id, p_partkey % 2 = 1 AS broken FROM part")
-def rd_order_violation(spark, d):
-    xml = F.when(F.col("p_partkey") % 2 == 0, part_xml()).otherwise(part_xml("p_partkey", "p_size", "p_name"))
-    df = table(spark, d, "part").withColumn("id", F.col("p_partkey"))
-    return read(df, xml, schema(SEQ_PART), "part", "PERMISSIVE", ("id",)).select("id", (F.size("errors") > 0).alias("broken"))
+for _name, _options in (("rd_order_violation", {}), ("rd_order_violation_python", {"order_check": "python"})):
+    @query(_name, "SELECT p_partkey AS id, p_partkey % 2 = 1 AS broken FROM part")
+    def rd_order_violation(spark, d, options=_options):
+        xml = F.when(F.col("p_partkey") % 2 == 0, part_xml()).otherwise(part_xml("p_partkey", "p_size", "p_name"))
+        df = table(spark, d, "part").withColumn("id", F.col("p_partkey"))
+        return read(df, xml, schema(SEQ_PART), "part", "PERMISSIVE", ("id",), **options).select("id", (F.size("errors") > 0).alias("broken"))
 
 
 def _leftover(native: bool) -> Query:
@@ -625,6 +631,13 @@ def rt_lineitem(spark, d):
 
 @query("rt_lineitem_ordered", LI_SQL)
 def rt_lineitem_ordered(spark, d):
+    own = schema(LINEITEM)
+    df = table(spark, d, "lineitem").select(own.writer(f"{{{NS}}}li").column(F.struct(*LI_COLS)).alias("xml"))
+    return own.reader(f"{{{NS}}}li", order_check="python").frame(df)
+
+
+@query("rt_lineitem_checked", LI_SQL)
+def rt_lineitem_checked(spark, d):
     own = schema(LINEITEM)
     df = table(spark, d, "lineitem").select(own.writer(f"{{{NS}}}li").column(F.struct(*LI_COLS)).alias("xml"))
     return own.reader(f"{{{NS}}}li").frame(df)
