@@ -87,21 +87,24 @@ class Model:
         return _sigmoid(np.asarray(z)[:, None] - self.thresholds[None, :])
 
 
-def fit(rows: list[list[int]], grades: list[int], *, bits: int, least_rows: int = 4, steps: int = 200, rate: float = 0.08, decay: float = 5e-4) -> Model:
+def fit(rows: list[list[int]], grades: list[int], **options) -> Model:
+    """``fit_flat`` for a list of features for each row."""
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    return fit_flat(np.fromiter((f for r in rows for f in r), np.int64, int(lengths.sum())), lengths, np.asarray(grades, np.int64), **options)
+
+
+def fit_flat(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, *, bits: int, least_rows: int = 4, steps: int = 200, rate: float = 0.08, decay: float = 5e-4) -> Model:
     """Maximum likelihood with weight decay by full-batch Adam; deterministic."""
     none = Model(bits, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    y = np.asarray(grades, np.int64)
-    if len(set(grades)) < 2:
+    if len(np.unique(y)) < 2:
         return none
-    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.fromiter((f for r in rows for f in r), np.int64, int(lengths.sum()))
-    row = np.repeat(np.arange(len(rows)), lengths)
+    row = np.repeat(np.arange(len(y)), lengths)
     keys, at, count = np.unique(flat, return_inverse=True, return_counts=True)
     kept = count >= least_rows
     place = np.cumsum(kept) - 1
     use = kept[at]
     row, col, keys = row[use], place[at[use]], keys[kept]
-    top, n, m = int(y.max()), len(rows), len(keys)
+    top, n, m = int(y.max()), len(y), len(keys)
     share = np.clip(np.array([(y <= k).mean() for k in range(top)]), 1e-3, 1 - 1e-3)
     t = np.log(share / (1 - share))
     gaps = np.concatenate(([t[0]], np.log(np.maximum(np.diff(t), 1e-2))))  # thresholds stay ordered
@@ -145,7 +148,9 @@ def train(docs: DataFrame, ratings: DataFrame, *, row_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own, pa.list_(pa.int64()))], names=["row", "grade", "own"])
 
     got = rows.select("_row", "_text", "grade").mapInArrow(run, "row long, grade int, own array<long>").toArrow().sort_by("row")
-    return fit(got.column("own").to_pylist(), got.column("grade").to_pylist(), bits=bits, **options)
+    own = got.column("own").combine_chunks()
+    lengths = np.diff(own.offsets.to_numpy()) if len(got) else np.zeros(0, np.int64)
+    return fit_flat(own.flatten().to_numpy() if len(got) else np.zeros(0, np.int64), lengths, got.column("grade").to_numpy().astype(np.int64), bits=bits, **options)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", at_least: int = 2, least: float = 0.5) -> DataFrame:
