@@ -66,7 +66,9 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
         while True:
             own = np.flatnonzero(passive)
             part = a[:, own]
-            goal = np.linalg.lstsq(part.T @ part, part.T @ b, rcond=None)[0]
+            square = part.T @ part
+            square[np.diag_indices_from(square)] += 1e-10  # columns may depend on one another
+            goal = np.linalg.solve(square, part.T @ b)
             if (goal > 0).all():
                 x[:] = 0
                 x[own] = goal
