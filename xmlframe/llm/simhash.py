@@ -26,20 +26,22 @@ from xmlframe.llm.common import components, ship, written
 _NOT_ONE = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
     """Words are runs of bytes other than blank and the five ASCII white spaces, A-Z lower-cased; shingles of ``width`` words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII only, both of them
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(line, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()
-        stops = (ends[width - 1 :] - 1).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(line, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()
+    stops = (ends[width - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
+
+
+def simhash_of(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -47,6 +49,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The SimHash of the text's shingles; 0 without a word."""
+    return simhash_of(shingle_hashes(text, width, seed))
+
+
 def fingerprints(df: DataFrame, *, row_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """(row_id, fp): fp is the 64-bit fingerprint as a signed long. A null text counts as empty, with fingerprint 0."""
     ship(df.sparkSession)
