@@ -56,3 +56,15 @@ def test_odd_vectors(spark):
     assert len(out) == len(rows)
     assert got == {(1, 2, 1, True), (2, 2, 1, False), *((i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10)), (None, 0, None, True)}
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_production_recall_near_a_subspace(spark):
+    rng = np.random.default_rng(4)
+    n = 20_000
+    x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, 64)) + 0.05 * rng.normal(size=(n, 64))
+    u = embed_dedup.unit(x.astype(np.float32))
+    degree = np.concatenate([(u[at : at + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for at in range(0, n, 1000)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    out = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df).collect()}
+    got = np.array([out[i] for i in range(n)])
+    assert (got <= degree).all() and got.sum() >= 0.98 * degree.sum()

@@ -4,7 +4,7 @@ Unit vectors are cut in two halves, each with its own codebook; the pairs of cod
 vector lies in the cell of its two nearest codes. A search walks the cells by rising distance (the sum of the squared
 distances of the halves to the cell's codes). In the two sorted code lists the cells walked so far form a staircase,
 so the walk up to a distance is found by a search in one list for each entry of the other. It goes as far beyond the own
-cell as the target recall needs for links at the threshold, measured on a bounded sample, and compares with every vector in the cells it meets.
+cell as the target recall needs for links at the threshold, measured on a bounded sample and its own links, and compares with every vector in the cells it meets.
 
 A pair is found when either of the two walks meets the other's cell, and is counted once: both know whether the other's walk
 met them. Exact copies are one class. Cells are split into blocks of bounded size on both sides, each pair of blocks is
@@ -73,26 +73,55 @@ class Index:
         return rows * len(self.second) + cols
 
 
+def _beyond(index: Index, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far beyond its own cell the nearer of the two walks of each pair has to go to meet the other's."""
+    da, db = index.distances(a), index.distances(b)
+    beyond = []
+    for d, e in ((da, db), (db, da)):
+        home = index.homes(e)
+        rows = np.arange(len(home))
+        beyond.append(d[0][rows, home // len(index.second)] + d[1][rows, home % len(index.second)] - (index.reach(d) - index.slack))
+    return np.minimum(*beyond)
+
+
+def _neighbours(sample: np.ndarray, threshold: float, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs of the sample the ``pairs`` links nearest the threshold (rows a, rows b), and each row's nearest other row."""
+    nearest = np.zeros(len(sample), np.int64)
+    a, b, c = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+    for at in range(0, len(sample), 512):
+        cosines = sample[at : at + 512] @ sample.T
+        rows = np.arange(len(cosines))
+        cosines[rows, at + rows] = -2.0
+        nearest[at : at + 512] = cosines.argmax(axis=1)
+        i, j = np.nonzero((cosines >= threshold) & (np.arange(len(sample)) > at + rows[:, None]))
+        a, b, c = np.concatenate((a, at + i)), np.concatenate((b, j)), np.concatenate((c, cosines[i, j]))
+        if len(c) > pairs:
+            few = np.argpartition(c, pairs)[:pairs]
+            a, b, c = a[few], b[few], c[few]
+    return a, b, nearest
+
+
 def build(sample: np.ndarray, codes: int, threshold: float, recall: float, seed: int, pairs: int = 4000) -> Index:
-    """Codebooks on the sample's halves, and the slack that reaches the recall for the hardest links there are.
+    """Codebooks on the sample's halves, and the slack that reaches the recall for the hardest of four kinds of links.
 
-    These are vectors at exactly the threshold from sample vectors, in random directions: whatever links the data hold,
-    and however many of them the sample shows, a walk goes as far.
+    These are the sample's own links nearest the threshold, and vectors at exactly the threshold from sample vectors: in random
+    directions, in directions drawn with the sample's covariance, and towards the nearest other vector of the sample. Data
+    near a subspace vary where the codebooks do, so their links go farther than random directions tell.
     """
     half = sample.shape[1] // 2
     index = Index(codebook(sample[:, :half], codes, seed), codebook(sample[:, half:], codes, seed + 1))
     rng = np.random.default_rng(seed + 2)
-    a = sample[rng.integers(0, len(sample), pairs)]
-    side = rng.normal(size=a.shape)
-    side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
-    b = threshold * a + math.sqrt(1 - threshold**2) * side
-    da, db = index.distances(a), index.distances(b)
-    beyond = []
-    for d, e in ((da, db), (db, da)):
-        home = index.homes(e)
-        rows = np.arange(len(home))
-        beyond.append(d[0][rows, home // len(index.second)] + d[1][rows, home % len(index.second)] - index.reach(d))
-    index.slack = float(np.quantile(np.minimum(*beyond), recall)) + 1e-9
+    at = rng.integers(0, len(sample), pairs)
+    a = sample[at]
+    first, second, nearest = _neighbours(sample, threshold, pairs)
+    kinds = [(sample[first], sample[second])]
+    centred = sample - sample.mean(axis=0)
+    drawn = rng.normal(size=(pairs, len(a[0]))) @ np.linalg.cholesky(centred.T @ centred / len(sample) + 1e-12 * np.eye(len(a[0]))).T
+    for side in (rng.normal(size=a.shape), drawn, sample[nearest[at]]):
+        side = side - (side * a).sum(axis=1, keepdims=True) * a
+        fine = (side * side).sum(axis=1) > 1e-18
+        kinds.append((a[fine], threshold * a[fine] + math.sqrt(1 - threshold**2) * unit(side[fine])))
+    index.slack = max(float(np.quantile(_beyond(index, x, y), recall)) for x, y in kinds if len(x)) + 1e-9
     return index
 
 
