@@ -46,3 +46,22 @@ def test_operator(spark):
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in out] == [(1, "a", 1), (2, "", 0), (1, "a", 1)]
     assert html_text.extract(spark.createDataFrame([], "html string")).count() == 0
+
+
+CARDS = "".join(f"<article><a href=/{i}>Read more {i}</a></article>" for i in range(3))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>{CARDS}", f"{LONG}\nShort.\n{LONG}"),
+        (f"<article class='post has-sidebar'><p>{LONG}</p></article>", LONG),
+        (f"<div class='content no-sidebar'><article><p>{LONG}</p><p>{LONG}</p></article></div>", f"{LONG}\n{LONG}"),
+        (f"<div class=widget><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+        (f"<form action=/page><div><p>{LONG}</p></div></form>", LONG),
+        (f"<html><head><title>T</title><body><p>{LONG}</p>", LONG),
+        (f"<article><div><p>{LONG}</p><p>{LONG}</p></div><div><p><a href=1>One</a></p><p><a href=2>Two</a></p><p><a href=3>Three</a></p><p><a href=4>Four</a></p></div></article>", f"{LONG}\n{LONG}"),
+    ],
+)
+def test_weights_instead_of_gates(page, text):
+    assert main_text(page) == text

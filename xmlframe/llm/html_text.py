@@ -3,9 +3,9 @@
 ``html.parser`` events cut a page into lines, one for each block of running text. A line's ratio is its text outside links
 against the tags it holds. Smoothed ratios are split by a threshold into content and boilerplate, and the content lines
 select regions: the whole of a region (the nearest article, main, section or div around a line) that holds one is
-taken, so that a short paragraph between long ones stays. What the page itself marks as navigation, header, footer,
-sidebar, notice, advert, form, script, style or reader comments is boilerplate whatever its ratio, and where a page has an
-article or main element with text, only regions inside it can be selected.
+taken, so that a short paragraph between long ones stays. Elements for navigation, header, footer, asides, scripts and styles
+and hidden ones are never text. All else is weighed, not gated: smoothed ratios count more inside article and main, and
+little inside forms and elements whose class, id or role says notice, advert, sidebar or reader comments.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from xmlframe.llm.common import ship
 
 # Element names of HTML.
 SKIPPED = frozenset("script style template noscript head title svg math canvas object iframe select textarea button datalist option audio video map".split())
-CHROME = frozenset("nav footer aside form dialog menu".split())
+CHROME = frozenset("nav footer aside dialog menu".split())
+# Elements that may stand in a head; any other one ends it.
+IN_HEAD = frozenset("head title meta link style script base noscript template".split())
 REGIONS = frozenset("article main section div body td table".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -42,32 +44,37 @@ MARKS = frozenset(
     "footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice overlay pagination paywall popup promo promoted promotion "
     "related search share sharing sidebar signup site-footer site-header skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+ARTICLE_MARKS = frozenset("comment sidebar promo ad advert teaser".split())
 NEVER_MARKED = frozenset("html body main".split())
+#: What a smoothed ratio counts inside an article or main element, and inside a marked one.
+INSIDE, MARKED = 1.5, 0.1
 _WORD = re.compile(r"[A-Za-z]+")
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, link characters, region, chrome, in article) lines."""
+    """Collects (text, tags, link characters, region, chrome, in article, marked) lines."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool, bool]] = []  # name, region, skipped, chrome, in article
-        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
+        self.open: list[tuple[str, int, bool, bool, bool, bool]] = []  # name, region, skipped, chrome, in article, marked
+        self.lines: list[tuple[str, int, int, int, bool, bool, bool]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.regions = self.links = 0
 
-    def _state(self) -> tuple[str, int, bool, bool, bool]:
-        return self.open[-1] if self.open else ("", 0, False, False, False)
+    def _state(self) -> tuple[str, int, bool, bool, bool, bool]:
+        return self.open[-1] if self.open else ("", 0, False, False, False, False)
 
     def _cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, region, _, chrome, inside = self._state()
-            self.lines.append((text, self.tags, self.linked, region, chrome, inside))
+            _, region, _, chrome, inside, marked = self._state()
+            self.lines.append((text, self.tags, self.linked, region, chrome, inside, marked))
             self.tags = self.linked = 0
         self.parts.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._close({"head"})
         if tag in BLOCKS:
             self._cut()
         elif tag == "br":
@@ -79,28 +86,33 @@ class _Lines(HTMLParser):
             self._close(ends)
         elif tag in BLOCKS and tag not in ("html", "body"):
             self._close({"p"})
-        _, region, skipped, chrome, inside = self._state()
-        if tag in REGIONS:
+        _, region, skipped, chrome, inside, marked = self._state()
+        skipped = skipped or tag in SKIPPED
+        chrome = chrome or tag in CHROME or tag == "header" and not inside or any(self._hidden(k, v) for k, v in attrs)
+        own = tag == "form" or tag not in NEVER_MARKED and any(self._marks(tag, k, v, inside) for k, v in attrs if v)
+        if tag in REGIONS or own:
             self.regions += 1
             region = self.regions
-        skipped = skipped or tag in SKIPPED
-        chrome = chrome or tag in CHROME or tag == "header" and not inside
-        if not chrome and tag not in NEVER_MARKED:
-            chrome = any(self._marks(tag, k, v, inside) for k, v in attrs if v)
-        inside = inside or tag in ("article", "main") and not chrome
+        marked = marked or own
+        inside = inside or tag in ("article", "main") and not chrome and not marked
         self.links += tag == "a"
-        self.open.append((tag, region, skipped, chrome, inside))
+        self.open.append((tag, region, skipped, chrome, inside, marked))
+
+    @staticmethod
+    def _hidden(name: str, value: str | None) -> bool:
+        return name == "hidden" and value != "until-found" or name == "aria-hidden" and value not in (None, "", "false")
 
     @staticmethod
     def _marks(tag: str, name: str, value: str, inside: bool) -> bool:
-        if name in ("hidden", "aria-hidden") and value != "false":
-            return True
-        if name not in ("class", "id", "role", "itemtype"):
+        if name not in ("class", "id", "role", "itemtype") or tag in HEADINGS:
             return False
-        words = {w.lower() for token in value.split() for w in (token, *_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token)))}
-        if tag == "article" and not inside:  # a page's own article may well be called so; one inside it is a comment or a teaser
-            return bool(words & {"comment", "sidebar", "promo", "ad", "advert", "teaser"})
-        return bool(words & MARKS) and tag not in HEADINGS
+        # A page's own article may well be called like some marks; one inside it is a comment or a teaser.
+        marks = ARTICLE_MARKS if tag == "article" and not inside else MARKS
+        for token in value.split():
+            words = _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token))
+            if token.lower() in marks or words and all(w.lower() in marks for w in words):  # has-sidebar isn't a sidebar
+                return True
+        return False
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -160,17 +172,15 @@ def main_text(html: str | None, *, sigma: float = 1.0, level: float = 0.5) -> st
     parser.close()
     lines = parser.lines
     usable = [i for i, x in enumerate(lines) if not x[4]]
-    if any(lines[i][5] for i in usable):
-        usable = [i for i in usable if lines[i][5]]
     if not usable:
         return ""
     ratios = np.array([max(0, len(x[0]) - x[2]) / (x[1] + 1) if not x[4] else 0.0 for x in lines])
-    height = smoothed(ratios, sigma)
+    weights = np.array([(INSIDE if x[5] else 1.0) * (MARKED if x[6] else 1.0) for x in lines])
+    height = smoothed(ratios, sigma) * weights
     spread = float(height.std())
     threshold = min(level * spread, float(height[usable].max())) if spread else 0.0
     chosen = {lines[i][3] for i in usable if height[i] >= threshold and ratios[i] > 0}
-    # In a marked article everything that isn't marked as something else belongs to the text, however short.
-    return "\n".join(lines[i][0] for i in usable if lines[i][5] or lines[i][3] in chosen and (ratios[i] > 0 or height[i] >= threshold))
+    return "\n".join(lines[i][0] for i in usable if lines[i][3] in chosen and (ratios[i] > 0 or height[i] >= threshold))
 
 
 def extract(df: DataFrame, *, html: str = "html", out: str = "text", **options: float) -> DataFrame:
