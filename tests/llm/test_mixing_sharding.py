@@ -71,3 +71,24 @@ def test_plans_have_no_python(spark):
     for out in (mixing.mix(df), sharding.stratified_shards(df, 24)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "MapInArrow"))
+
+
+def test_exact_weights_over_many_cycles(spark):
+    weights = {"big": 1 / 3, **{f"s{i:02}": 2 / 3 / 19 for i in range(19)}}
+    rows = [(i, k) for k, w in weights.items() for i in range(int(30_000 * w))]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=1, cycle=100)
+    order = [r.source for r in out.orderBy("mix_position").collect()]
+    total, done, ends = sum(map(Fraction, weights.values())), Counter(), Counter(k for _, k in rows)
+    for t, k in enumerate(order, 1):
+        done[k] += 1
+        if t % 97 == 0:
+            assert all(abs(done[x] - t * Fraction(w) / total) < 1 for x, w in weights.items())
+        if done[k] == ends[k]:
+            break
+    assert t > 29_000 and len(order) == len(rows)
+
+
+def test_weights_of_many_sources():
+    weights = {f"s{i:04}": 1.0 for i in range(1500)} | {"big": 1500.0}
+    own = mixing.placed({k: 3000 if k == "big" else 2 for k in weights}, weights)
+    assert sum(t < 1500 for t in own["big"]) in (749, 750, 751)
