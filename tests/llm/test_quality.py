@@ -42,3 +42,13 @@ def test_edges(spark):
     out = quality.score(docs, model).collect()
     assert len(out) == 5 and [r.p_good for r in out][1:4] == [out[1].p_good] * 3
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_held_out_toxic_recall_by_language(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    ratings = quality.graded(labels)
+    model = quality.train(docs, ratings.where("doc_id % 2 = 0"))
+    out = quality.score(docs, model).join(ratings.where("doc_id % 2 = 1"), "doc_id").select("grade", "kept", "lang").toPandas()
+    assert out[out.grade == 2].kept.mean() > 0.99
+    passed = out[out.grade == 1].groupby("lang").kept.mean()
+    assert len(passed) == 4 and (passed < 0.4).all(), passed

@@ -4,9 +4,10 @@ A rating has ordered grades 0 to K. All grades share one score z, the sum of the
 K ordered thresholds cut it: P(grade <= k) = sigmoid(threshold k - z). The model gives the expected grade and tail
 probabilities P(grade >= k), by which documents are selected.
 
-Features are the distinct words of the whole text (lower-cased, outer punctuation off) and a few bucketed measures of its
-style, hashed to ``bits`` bits. Weights are fitted on the driver on at most ``sample_rows`` labelled rows, chosen by a hash of
-their ids; features of fewer than ``least_rows`` of these get no weight, so the model is as bounded as the sample.
+Features are the distinct words of the whole text (lower-cased, outer punctuation off), their prefixes of four to six
+characters, once more those that two or more distinct words share, and a few bucketed measures of its style, hashed to ``bits`` bits. Weights are fitted on the driver on at most ``sample_rows`` labelled rows, chosen by a hash of
+their ids; features of fewer than ``least_rows`` of these get no weight, nor do words and prefixes whose rows
+are graded like all others (``least_z`` standard deviations at no grade), so the model is as bounded as the sample.
 Scoring reads every document once, where it lies.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +35,7 @@ _DIGIT[48:58] = True
 for _c in b"#$%&*+/<=>@\\^_`|~!":
     _MARK[_c] = True
 _REPEAT = re.compile(r"[^\W_]+")
+PREFIXES = (4, 5, 6)
 
 
 def _bucket(x: float, steps: int = 4) -> int:
@@ -48,6 +51,12 @@ def features(text: str | None, bits: int) -> list[int]:
     kinds = {w.strip(_EDGE) for w in set(words)}
     kinds.discard("")
     out = {zlib.crc32(w.encode("utf-8", "surrogatepass")) & mask for w in kinds}
+    stems = Counter(w[:k] for w in kinds for k in PREFIXES if len(w) >= k)
+    for stem, n in stems.items():
+        own = zlib.crc32(b"\x01" + stem.encode("utf-8", "surrogatepass"))
+        out.add(own & mask)
+        if n > 1:
+            out.add(zlib.crc32(b"\x02", own) & mask)
     data = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     n = max(1, int(data.sum()))
     lines = [x for x in text.split("\n") if x]
@@ -93,7 +102,7 @@ def fit(rows: list[list[int]], grades: list[int], **options) -> Model:
     return fit_flat(np.fromiter((f for r in rows for f in r), np.int64, int(lengths.sum())), lengths, np.asarray(grades, np.int64), **options)
 
 
-def fit_flat(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, *, bits: int, least_rows: int = 4, steps: int = 200, rate: float = 0.08, decay: float = 5e-4) -> Model:
+def fit_flat(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, *, bits: int, least_rows: int = 4, least_z: float = 0.0, steps: int = 200, rate: float = 0.08, decay: float = 5e-4) -> Model:
     """Maximum likelihood with weight decay by full-batch Adam; deterministic."""
     none = Model(bits, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     if len(np.unique(y)) < 2:
@@ -101,9 +110,17 @@ def fit_flat(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, *, bits: int,
     row = np.repeat(np.arange(len(y)), lengths)
     keys, at, count = np.unique(flat, return_inverse=True, return_counts=True)
     kept = count >= least_rows
+    if least_z > 0:
+        apart = np.zeros(len(keys))
+        for k in range(1, int(y.max()) + 1):
+            p = float((y >= k).mean())
+            if 0 < p < 1:
+                above = np.bincount(at, weights=(y >= k)[row], minlength=len(keys))
+                apart = np.maximum(apart, np.abs(above - count * p) / np.sqrt(count * p * (1 - p)))
+        kept &= (apart >= least_z) | (keys >> bits > 0)
     place = np.cumsum(kept) - 1
     use = kept[at]
-    row, col, keys = row[use], place[at[use]], keys[kept]
+    row, col, keys = row[use], place[at[use]], keys[kept].astype(np.int64)
     top, n, m = int(y.max()), len(y), len(keys)
     share = np.clip(np.array([(y <= k).mean() for k in range(top)]), 1e-3, 1 - 1e-3)
     t = np.log(share / (1 - share))
@@ -135,7 +152,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def train(docs: DataFrame, ratings: DataFrame, *, row_id: str = "doc_id", text: str = "text", sample_rows: int = 8000, bits: int = 26, seed: int = 5, **options) -> Model:
+def train(docs: DataFrame, ratings: DataFrame, *, row_id: str = "doc_id", text: str = "text", sample_rows: int = 8000, bits: int = 26, seed: int = 5, least_z: float = 4.0, **options) -> Model:
     """Fit on at most ``sample_rows`` of ``ratings`` (doc_id, grade), with the texts of ``docs``."""
     ship(docs.sparkSession)
     # At most ``sample_rows`` pairs of numbers, so the join may send them to every task.
@@ -145,12 +162,12 @@ def train(docs: DataFrame, ratings: DataFrame, *, row_id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [features(x.as_py(), bits) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own, pa.list_(pa.int64()))], names=["row", "grade", "own"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own, pa.list_(pa.int32()))], names=["row", "grade", "own"])
 
-    got = rows.select("_row", "_text", "grade").mapInArrow(run, "row long, grade int, own array<long>").toArrow().sort_by("row")
+    got = rows.select("_row", "_text", "grade").mapInArrow(run, "row long, grade int, own array<int>").toArrow().sort_by("row")
     own = got.column("own").combine_chunks()
     lengths = np.diff(own.offsets.to_numpy()) if len(got) else np.zeros(0, np.int64)
-    return fit_flat(own.flatten().to_numpy() if len(got) else np.zeros(0, np.int64), lengths, got.column("grade").to_numpy().astype(np.int64), bits=bits, **options)
+    return fit_flat(own.flatten().to_numpy() if len(got) else np.zeros(0, np.int64), lengths, got.column("grade").to_numpy().astype(np.int64), bits=bits, least_z=least_z, **options)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", at_least: int = 2, least: float = 0.5) -> DataFrame:
