@@ -45,3 +45,11 @@ def test_against_all_pairs(spark):
     assert {r.doc_id: r.component_id for r in copies.near_copies(df).collect()} == dict(enumerate(want))
     docs = df.selectExpr("doc_id", "text", "'en' lang", "'s' source", "length(text) n_chars")
     assert {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect()} == set(want)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    a, b = _texts()[0], _texts()[6]
+    rows = [(1, a), (2, b), (2, a), (3, b), (3, a + " more"), (4, None), (4, ""), (5, "one text"), (5, "another"), (5, "one text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.drop_copies(spark, docs, "").collect())
+    assert got == sorted([(1, a), (2, b), (4, ""), (5, "one text"), (5, "another")])
