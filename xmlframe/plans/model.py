@@ -137,7 +137,6 @@ class Options:
     date_facets: str = "lexical"
     nil_mode: str = "flag"  # flag, null, string
     order_check: bool | str = True  # or python: in document order, with the exact message
-    max_depth: int = 3
 
     def __post_init__(self) -> None:
         if self.validation is not None:
