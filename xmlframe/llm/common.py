@@ -6,6 +6,7 @@ that a later stage needs.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -36,20 +37,74 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="xmlframe-")
+        _file_system(spark, named).deleteOnExit(_hadoop_path(spark, named))
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/xmlframe-{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage is cut, nothing is computed twice."""
+    """``df`` written as Parquet to the shared folder and read again: lineage is cut, nothing is computed twice.
+
+    The folder goes when the application ends, or before that by ``forget``.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
+    _file_system(spark, path).deleteOnExit(_hadoop_path(spark, path))
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def put(spark: SparkSession, data: bytes, tag: str) -> str:
+    """A file of these bytes in the shared folder; gives its path."""
+    path = fresh_path(spark, tag)
+    fs = _file_system(spark, path)
+    fs.deleteOnExit(_hadoop_path(spark, path))
+    stream = fs.create(_hadoop_path(spark, path))
+    stream.write(bytearray(data))
+    stream.close()
+    return path
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the folder of a written table that nothing reads any more."""
+    path = df._written_to
+    _file_system(df.sparkSession, path).delete(_hadoop_path(df.sparkSession, path), True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread(df: DataFrame, each: int) -> DataFrame:
+    """A written table dealt to as many tasks as it has ``each`` rows, and at least one a core: small rows may stand for much work."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // each)))
+
+
+def bits_for(rows: int, each: int = 1 << 16) -> int:
+    """How many leading bits of a hash cut so many rows into parts of about ``each``."""
+    return min(30, max(0, math.ceil(math.log2(max(1, rows) / each))))
 
 
 def key_of(name: str) -> Column:
@@ -57,46 +112,60 @@ def key_of(name: str) -> Column:
     return F.when(F.col(name).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(name).cast("string")))
 
 
-def ranked(df: DataFrame, group: str, hash_col: str, ties: Sequence[str], out: str, size: str, bits: int = 8) -> DataFrame:
+def ranked(df: DataFrame, group: str, hash_col: str, ties: Sequence[str], out: str, size: str, bits: int) -> DataFrame:
     """Add the 0-based rank of each row within its group in hash order, and the group's row count.
 
     A group may hold most of all rows: its rows are dealt by (group, leading ``bits`` of the hash), ranked there, and
-    the counts of the earlier parts of the group are added. No task sees a whole group.
+    the counts of the earlier parts of the group are added. No task sees a whole group; ``bits_for`` the row count bounds a part.
     """
-    df = df.withColumn("_part", F.shiftrightunsigned(F.col(hash_col), 64 - bits))
-    parts = df.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    part, g, p, before = fresh(df, "_part", "_g", "_p", "_before")
+    df = df.withColumn(part, F.shiftrightunsigned(F.shiftrightunsigned(F.col(hash_col), 63 - bits), 1))
+    counts = df.groupBy(group, part).agg(F.count(F.lit(1)).alias("_n"))
     own = Window.partitionBy(group)
-    parts = parts.select(
-        F.col(group).alias("_g"),
-        F.col("_part").alias("_p"),
-        F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+    counts = counts.select(
+        F.col(group).alias(g),
+        F.col(part).alias(p),
+        F.coalesce(F.sum("_n").over(own.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before),
         F.sum("_n").over(own).alias(size),
     )
-    inside = Window.partitionBy(group, "_part").orderBy(hash_col, *ties)
+    inside = Window.partitionBy(group, part).orderBy(hash_col, *ties)
     df = df.withColumn(out, F.row_number().over(inside) - 1)
-    df = df.join(parts, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p")))
-    return df.withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_g", "_p", "_before")
+    df = df.join(counts, (F.col(group) == F.col(g)) & (F.col(part) == F.col(p)))
+    return df.withColumn(out, F.col(out) + F.col(before)).drop(part, g, p, before)
+
+
+def _larger_to_smaller(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _star_round(edges: DataFrame) -> DataFrame:
+    """One step towards stars: every node hands its larger neighbours, then its smaller ones, to the smallest it knows.
+
+    Both keep what is connected connected. Hubs meet their minimum in plain equi-joins, which adaptive execution splits.
+    """
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")).withColumnRenamed("a", "u")
+    handed = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("low").alias("b"))
+    low = handed.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "u")
+    met = handed.join(low, F.col("a") == F.col("u"))
+    pair = F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
+    return met.select(F.explode(pair).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
-def components(edges: DataFrame, tag: str = "components", rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges`` (a long, b long): one row per node, (node, root), root the smallest node reachable.
+def components(edges: DataFrame, tag: str = "components") -> DataFrame:
+    """Connected components of ``edges`` (a long, b long): one row per node of an edge to another, (node, root), root the smallest node reachable.
 
-    Labels spread to neighbours and then jump to the label's own label, so the number of rounds grows with the logarithm
-    of a component's diameter. Every round is written to the shared folder. Edges meet labels in a plain equi-join
-    of two written tables, which adaptive execution splits where a hub has many edges.
+    Rounds of stars until every node hangs on a root that hangs on nothing. Distances shrink by half or more in a round, so a
+    chain of 10,000 nodes takes 14. Each round writes one table of at most as many rows as there are distinct edges and deletes
+    the one before. There is no cap on rounds.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.where("a <> b").distinct(), f"{tag}-edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), f"{tag}-labels")
-    for _ in range(rounds):
-        heard = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "root")
-        lower = written(heard.union(labels).groupBy("node").agg(F.min("root").alias("root")), f"{tag}-lower")
-        up = lower.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        nearer = lower.join(up, lower.root == up._node).select("node", F.col("_root").alias("root"))
-        nearer = written(nearer, f"{tag}-labels")
-        old = labels.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        moved = nearer.join(old, nearer.node == old._node).where("root <> _root").limit(1).count()
-        labels = nearer
-        if not moved:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    now = written(_larger_to_smaller(edges), tag)
+    while True:
+        ends = now.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+        if open_ends.isEmpty():
+            break
+        now, old = written(_star_round(now), tag), now
+        forget(old)
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
