@@ -2,6 +2,7 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from xmlframe.llm import mixing, sharding
 
@@ -16,12 +17,6 @@ def test_schedule_stays_within_one_block(slots):
     assert done == slots
 
 
-def test_shares_sum_up():
-    assert mixing.shares({"a": 1, "b": 1, "c": 1}, 1000) in ({"a": 334, "b": 333, "c": 333}, {"a": 333, "b": 334, "c": 333}, {"a": 333, "b": 333, "c": 334})
-    got = mixing.shares({"a": 1e6, "b": 1, "c": 2}, 10)
-    assert sum(got.values()) == 10 and min(got.values()) == 1
-
-
 def _docs(spark):
     rows = [(i, f"s{min(i % 7, 3)}" if i % 50 else None, "t", "clash") for i in range(3000)]
     rows += [(1, "s1", "t", "clash")] * 3 + [(None, "s1", "t", "clash")] * 2
@@ -92,3 +87,76 @@ def test_weights_of_many_sources():
     weights = {f"s{i:04}": 1.0 for i in range(1500)} | {"big": 1500.0}
     own = mixing.placed({k: 3000 if k == "big" else 2 for k in weights}, weights)
     assert sum(t < 1500 for t in own["big"]) in (749, 750, 751)
+
+
+def _plain_edf(blocks, weights, slots):
+    """Slot by slot, everything recomputed from the exact weights; sources don't end."""
+    w = {k: Fraction(x) / sum(map(Fraction, weights.values())) for k, x in weights.items()}
+    done, out = Counter(), []
+    for t in range(slots):
+        released = [k for k in w if done[k] < blocks[k] and (done[k] / w[k]).__floor__() <= t]
+        k = min(released, key=lambda k: (((done[k] + 1) / w[k]).__ceil__(), k))
+        done[k] += 1
+        out.append(k)
+        assert all(abs(done[x] - (t + 1) * w[x]) < 1 for x in w)
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": 1, "b": 3.141592653589793}, {"a": 1 / 3, **{f"s{i:02}": 0.01 + i / 700 for i in range(25)}}])
+def test_order_against_plain_edf(weights):
+    slots = 3000
+    own = mixing.placed({k: 2 * slots for k in weights}, weights)
+    order = dict(sorted((t, k) for k, at in own.items() for t in at))
+    assert [order[t] for t in range(slots)] == _plain_edf({k: 2 * slots for k in weights}, weights, slots)
+
+
+@pytest.mark.parametrize("other", [2.0, 3.141592653589793])
+def test_deviation_over_many_slots(other):
+    weights = {"a": 1.0, "b": other}
+    own = mixing.placed({k: 100_000 for k in weights}, weights)
+    for k, w in weights.items():
+        share = Fraction(w) / sum(map(Fraction, weights.values()))
+        assert all(abs(j + 1 - (t + 1) * share) < 1 and abs(j - t * share) < 1 for j, t in enumerate(own[k]) if t < 100_000)
+
+
+def test_sources_that_end_leave_the_others_scaled_up():
+    own = mixing.placed({"a": 10, "b": 400, "c": 200}, {"a": 1, "b": 2, "c": 1})
+    assert sorted(t for at in own.values() for t in at) == list(range(610))
+    assert max(own["a"]) <= 40  # a ends at 4 x 10 slots, then b and c share 2 to 1
+    assert all(abs(sum(x < t for x in own["b"]) - (20 + (t - 40) * Fraction(2, 3))) < 1 for t in range(40, 600, 7))
+
+
+def test_many_sources_and_grown_blocks(spark):
+    df = spark.range(30_000).selectExpr("id doc_id", "concat('d', id % 10007) source", "'x' _source", "'y' _k", "'z' _size")
+    out = mixing.mix(df, most_sources=64, most_blocks=500)
+    assert out.columns[:5] == df.columns and out.select("_source", "_k", "_size").distinct().collect() == [("x", "y", "z")]
+    rows = out.select("doc_id", "mix_position", "mix_slot").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(30_000)) and len({r.mix_position for r in rows}) == 30_000
+    assert max(r.mix_slot for r in rows) < 500 + 64
+
+
+def test_a_hundred_thousand_sources(spark):
+    df = spark.range(200_000).selectExpr("id doc_id", "cast(id % 100000 as string) source")
+    out = mixing.mix(df)
+    assert out.count() == 200_000 and out.select("mix_position").distinct().count() == 200_000
+
+
+def test_shards_keep_clashing_columns_and_part_rows_without_ids(spark):
+    df = spark.range(3000).selectExpr("cast(null as long) doc_id", "id text", "'s' source", "'a' _size", "'b' _hash", "'c' _s", "'d' _g")
+    out = sharding.stratified_shards(df, 5, ties=["text"], slice_rows=64)
+    assert out.columns == [*df.columns, "shard", "slot"] and sorted(Counter(r.shard for r in out.collect()).values()) == [600] * 5
+    assert out.select("_size", "_hash", "_s", "_g").distinct().collect() == [("a", "b", "c", "d")]
+
+
+def test_shards_against_plain_python(spark):
+    df, _ = _docs(spark)
+    hashed = df.withColumn("h", F.xxhash64(F.lit(17), "doc_id", "text")).collect()
+    by = {}
+    for r in hashed:
+        by.setdefault("n" if r.source is None else "v" + r.source, []).append((r.h % 2**64, r.doc_id is not None, r.doc_id or 0))
+    order = sorted(((i + 0.5) / len(own), k, *row) for k, own in by.items() for i, row in enumerate(sorted(own)))
+    n, want = len(order), Counter()
+    for at, (_, k, _, there, i) in enumerate(order):
+        want[(i if there else None, k, at * 7 // n)] += 1
+    got = sharding.stratified_shards(df, 7, ties=["text"], slice_rows=100).collect()
+    assert Counter((r.doc_id, "n" if r.source is None else "v" + r.source, r.shard) for r in got) == want

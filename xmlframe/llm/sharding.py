@@ -15,27 +15,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from xmlframe.llm.common import key_of, ranked
+from xmlframe.llm.common import bits_for, fresh, key_of, ranked
 
 
-def stratified_shards(df: DataFrame, shards: int, *, row_id: str = "doc_id", source: str = "source", ties: Sequence[str] = (), seed: int = 17, slices: int = 2048) -> DataFrame:
+def stratified_shards(df: DataFrame, shards: int, *, row_id: str = "doc_id", source: str = "source", ties: Sequence[str] = (), seed: int = 17, slice_rows: int = 1 << 16) -> DataFrame:
     """Add ``shard`` int (0 to shards-1) and ``slot`` long (gapless from 0 within the shard) to the rows of ``df``.
 
     Shard sizes differ by at most one row, and each source's share of a shard by about one row from its share of
     the whole. A null source is a source of its own; null ids hash like any value; repeated rows are placed one by one;
-    ``ties`` order rows with equal ids. An empty table gives an empty table. Columns of ``df`` with these names are replaced.
+    ``ties`` are hashed with the id and order rows with equal ids. An empty table gives an empty table. Columns of ``df`` with
+    these two names are replaced, all others are kept whatever they are called. Parts and slices hold about ``slice_rows``
+    rows whatever the input; only rows alike in id and ``ties`` can't be parted.
     """
-    df = df.drop("shard", "slot").withColumns({"_source": key_of(source), "_hash": F.xxhash64(F.lit(seed), F.col(row_id))})
-    df = ranked(df, "_source", "_hash", [row_id, *ties], "_rank", "_size")
-    df = df.withColumn("_frac", (F.col("_rank") + 0.5) / F.col("_size"))
-    df = df.withColumn("_slice", F.floor(F.col("_frac") * slices).cast("int"))
-    # One row a slice, so at most ``slices`` rows whatever the input: small enough to order in one task and to broadcast.
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    every = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counts = counts.select(F.col("_slice").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("_all"))
-    df = df.withColumn("_in", F.row_number().over(Window.partitionBy("_slice").orderBy("_frac", "_source", "_hash", row_id, *ties)) - 1)
-    df = df.join(F.broadcast(counts), F.col("_slice") == F.col("_s")).withColumn("_at", F.col("_before") + F.col("_in"))
-    df = df.withColumn("shard", F.expr(f"cast((_at * {shards}) div _all as int)"))
-    df = df.withColumn("slot", F.expr(f"_at - ((shard * _all + {shards - 1}) div {shards})"))
-    return df.drop("_source", "_hash", "_rank", "_size", "_frac", "_slice", "_in", "_s", "_before", "_all", "_at")
+    df = df.drop("shard", "slot")
+    own, hash_col, rank, size, frac, piece, inside, s, before, every, at = fresh(df, "_source", "_hash", "_rank", "_size", "_frac", "_slice", "_in", "_s", "_before", "_all", "_at")
+    total = df.count()
+    slices = max(1, -(-total // slice_rows))
+    df = df.withColumns({own: key_of(source), hash_col: F.xxhash64(F.lit(seed), F.col(row_id), *ties)})
+    df = ranked(df, own, hash_col, [row_id, *ties], rank, size, bits_for(total, slice_rows))
+    df = df.withColumn(frac, (F.col(rank) + 0.5) / F.col(size))
+    df = df.withColumn(piece, F.floor(F.col(frac) * slices).cast("int"))
+    # One row for each ``slice_rows`` rows of the input, three numbers each: small enough to order in one task and to broadcast.
+    earlier = Window.orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(F.col(piece).alias(s)).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(s, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(before), F.lit(total).cast("long").alias(every))
+    df = df.withColumn(inside, F.row_number().over(Window.partitionBy(piece).orderBy(frac, own, hash_col, row_id, *ties)) - 1)
+    df = df.join(F.broadcast(counts), F.col(piece) == F.col(s)).withColumn(at, F.col(before) + F.col(inside))
+    df = df.withColumn("shard", F.expr(f"cast((`{at}` * {shards}) div `{every}` as int)"))
+    df = df.withColumn("slot", F.expr(f"`{at}` - ((shard * `{every}` + {shards - 1}) div {shards})"))
+    return df.drop(own, hash_col, rank, size, frac, piece, inside, s, before, every, at)
