@@ -1,13 +1,15 @@
 """SimHash near-duplicates: positional byte index with count filtering.
 
-A fingerprint has eight bytes. Two fingerprints that differ in at most k bits share at least 8 - k bytes at equal positions,
-which is the count that a pair must reach. The index posts every distinct fingerprint under each choice of 8 - k positions
-with the bytes it has there; meeting under one posting is the proof of that count, so no smaller tallies need to be kept,
-and a posting holds at most 256 to the power k distinct fingerprints: 65,536 for k = 2, whatever the input.
-
-Within a posting the tally of shared bytes and the bit distance are verified and the links are reduced to (fingerprint,
-smallest fingerprint linked to it) edges, so a dense group gives a row a member and not all its pairs. Links between
-fingerprints are found without loss; documents with the same fingerprint are one node of the graph.
+A fingerprint has eight bytes. Two fingerprints that differ in at most two bits differ in at most two bytes, so they share at
+least six bytes at equal positions: the count that a pair must reach. The index posts every distinct fingerprint under the
+bytes of two of four byte pairs, six postings in all, and two bytes cannot spoil all six. A posting is held by what agrees in
+four bytes, whatever the other four are. Within it the bytes that each pair shares by position are tallied, pairs that reach six
+are retained, and their bits are verified.
+
+A posting of more than ``MOST`` fingerprints is refined: its members are posted again under each choice of two of the four
+bytes that are left. Such a posting has two free bytes, hence at most 65,536 distinct fingerprints whatever the input. Links
+are reduced to (fingerprint, smallest fingerprint linked to it) edges, so a dense group gives a row a member and not all its
+pairs. Links between fingerprints are found without loss; documents with the same fingerprint are one node of the graph.
 """
 
 from __future__ import annotations
@@ -18,12 +20,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xmlframe.llm.common import components, ship, written
+from xmlframe.llm.common import components, ship, spread, written
 
-_NOT_ONE = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+_ONES = np.array([i.bit_count() for i in range(256)], np.uint8)
+#: Fingerprints that a posting on four bytes holds before it is refined.
+MOST = 256
+#: Byte positions of the six postings, and for each the pairs of further positions that refine it.
+POSTINGS = [tuple(p for k in c for p in (2 * k, 2 * k + 1)) for c in combinations(range(4), 2)]
+REFINED = [list(combinations([p for p in range(8) if p not in own], 2)) for own in POSTINGS]
 
 
 def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
@@ -67,28 +74,42 @@ def fingerprints(df: DataFrame, *, row_id: str = "doc_id", text: str = "text", w
     return df.select(F.col(row_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, f"`{row_id}` long, fp long")
 
 
-def _linked(fps: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
-    """(fingerprint, smallest fingerprint of its group) edges among the distinct fingerprints of one posting."""
-    u = np.sort(fps).view(np.uint64)
-    n = len(u)
-    root = np.arange(n)
-    step = max(1, (1 << 21) // n)  # rows of the distance table held at once
+def _smallest(near: np.ndarray) -> np.ndarray:
+    """For tables of links (tables, n, n): the first member of each member's group."""
+    n = near.shape[1]
+    root = np.broadcast_to(np.arange(n), near.shape[:2])
     while True:
-        low = root.copy()
-        for at in range(0, n, step):
-            apart = (u[at : at + step, None] ^ u[None, :]).view(np.uint8).reshape(-1, n, 8)
-            near = ((apart == 0).sum(axis=2) >= 8 - bits) & (_NOT_ONE[apart].sum(axis=2) <= bits)
-            low[at : at + step] = np.where(near, root[None, :], n).min(axis=1)
-        low = low[low]
+        low = np.minimum(root, np.where(near, root[:, None, :], n).min(axis=2))
+        low = np.take_along_axis(low, low, axis=1)
         if (low == root).all():
-            break
+            return root
         root = low
-    v = u.view(np.int64)
-    return ((int(v[i]), int(v[r])) for i, r in enumerate(root) if i != r)
 
 
-def _linked_by_table(fps: np.ndarray, free: tuple[int, ...], bits: int) -> Iterator[tuple[int, int]]:
-    """The same for a large posting on two free bytes: look the few values within ``bits`` up instead of comparing all."""
+def _tallied(u: np.ndarray, bits: int) -> np.ndarray:
+    """Which pairs of the same row of ``u`` share the bytes they must and differ in few enough bits."""
+    apart = (u[:, :, None] ^ u[:, None, :]).view(np.uint8).reshape(*u.shape, u.shape[1], 8)
+    near = (apart == 0).sum(axis=3, dtype=np.uint8) >= 8 - bits
+    at = np.nonzero(near)
+    near[at] = _ONES[apart[at]].sum(axis=1) <= bits
+    return near
+
+
+def _linked(lists: list[np.ndarray], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(fingerprint, smallest fingerprint of its group) edges of postings of the same size."""
+    u = np.sort(np.stack(lists).view(np.uint64), axis=1)
+    n = u.shape[1]
+    step = max(1, (1 << 18) // (n * n))
+    for at in range(0, len(u), step):
+        part = u[at : at + step]
+        root = _smallest(_tallied(part, bits))
+        row, col = np.nonzero(root != np.arange(n))
+        if len(row):
+            yield part[row, col].view(np.int64), part[row, root[row, col]].view(np.int64)
+
+
+def _linked_by_table(fps: np.ndarray, free: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a refined posting: six bytes are shared, so look the few values of the others within ``bits`` up."""
     u = fps.view(np.uint64)
     value = np.zeros(len(u), np.int64)
     for p in free:
@@ -108,34 +129,50 @@ def _linked_by_table(fps: np.ndarray, free: tuple[int, ...], bits: int) -> Itera
         if (low == root).all():
             break
         root = low
-    s = fps[order]
-    return ((int(s[i]), int(s[r])) for i, r in enumerate(root[:n]) if i != r)
+    at = np.flatnonzero(root[:n] != np.arange(n))
+    return fps[order[at]], fps[order[root[at]]]
+
+
+def _masked(fp: str, positions: tuple[int, ...]) -> Column:
+    mask = sum(255 << 8 * p for p in positions)
+    return F.col(fp).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
 def link_fingerprints(fps: DataFrame, *, fp: str = "fp", bits: int = 2) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fingerprints at ``bits`` or fewer differing bits."""
+    """Edges (a, b) whose components are those of all pairs of the distinct fingerprints ``fps`` at ``bits`` or fewer differing bits."""
     if not 0 <= bits <= 2:
         raise ValueError("a posting is bounded for at most two differing bits")
-    choices = list(combinations(range(8), 8 - bits))
-    masks = [sum(255 << 8 * p for p in c) for c in choices]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    posts = F.array(*(F.struct(F.lit(i).alias("choice"), F.col(fp).bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(signed)))
-    posted = fps.select(fp).distinct().select(F.col(fp).alias("fp"), F.explode(posts).alias("post")).select("fp", "post.choice", "post.bytes")
-    lists = posted.groupBy("choice", "bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    fps = spread(fps.select(F.col(fp).alias("fp")), each=1 << 17)
+    posts = F.array(*(F.struct(F.lit(i).alias("choice"), _masked("fp", own).alias("bytes")) for i, own in enumerate(POSTINGS)))
+    posted = fps.select("fp", F.explode(posts).alias("post")).select("fp", "post.choice", "post.bytes")
+    sizes = posted.groupBy("choice", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    posted = written(posted.join(sizes, ["choice", "bytes"]), "simhash-postings")
+    lists = posted.where(F.col("n") <= MOST).groupBy("choice", "bytes").agg(F.collect_list("fp").alias("fps")).select(F.lit(-1).alias("free"), "fps")
+    further = [[tuple(p for p in range(8) if p not in (*own, *two)) for two in pairs] for own, pairs in zip(POSTINGS, REFINED)]
+    free = sorted({f for pairs in further for f in pairs})
+    again = F.array(*(F.struct(F.lit(i).alias("free"), _masked("fp", tuple(p for p in range(8) if p not in f)).alias("bytes")) for i, f in enumerate(free)))
+    choices = F.array(*(F.array(*(F.lit(free.index(f)) for f in pairs)) for pairs in further))
+    # A fingerprint that several large postings hold is posted once for each choice of free bytes.
+    large = posted.where(F.col("n") > MOST).select("fp", F.explode(F.get(choices, F.col("choice"))).alias("free")).distinct()
+    large = large.withColumn("bytes", F.get(again, F.col("free"))["bytes"]).groupBy("free", "bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[int, int]] = []
-            for choice, values in zip(b.column(0).to_pylist(), b.column(1)):
-                x = values.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                free = tuple(p for p in range(8) if p not in choices[choice])
-                out += _linked(x, bits) if len(x) < 300 else _linked_by_table(x, free, bits)
+            of_size: dict[int, list[np.ndarray]] = {}
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for own, values in zip(b.column(0).to_pylist(), b.column(1)):
+                x = values.values.to_numpy(zero_copy_only=False)
+                if own < 0 or len(x) <= MOST:
+                    of_size.setdefault(len(x), []).append(x)
+                else:
+                    out.append(_linked_by_table(x, free[own], bits))
+            for same in of_size.values():
+                out += _linked(same, bits)
             if out:
-                a, c = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k in (0, 1)], schema=schema)
 
-    return lists.select("choice", "fps").mapInArrow(run, "a long, b long")
+    return lists.union(large.select("free", "fps")).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, *, row_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, bits: int = 2) -> DataFrame:
