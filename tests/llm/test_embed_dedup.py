@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+from fractions import Fraction
+
 import numpy as np
 
 from xmlframe.llm import embed_dedup
@@ -50,14 +54,54 @@ def test_walk_is_the_sorted_sum_of_distances():
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (1, [1.0, 0.0]), (10, [0.0, 1.0])]
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 0.0]), (None, [0.0, -2.0]), (None, None), (1, [1.0, 0.0]), (10, [0.0, 1.0])]
     out = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in out}
-    assert len(out) == len(rows)
-    assert got == {(1, 2, 1, True), (2, 2, 1, False), *((i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10)), (None, 0, None, True)}
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out)
+    want = [(1, 3, 1, True), (2, 3, 1, False), *((i, 0, i, True) for i in (3, 4, 5, 6, 7, 8)), (None, 3, 1, False), (None, 0, None, True), (None, 0, None, True), (1, 3, 1, True), (10, 0, 10, True)]
+    assert got == Counter(want)
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_repeated_ids_widths_and_extreme_sizes(spark):
+    """Brute force by plain Python over vectors of one to three components, tiny and huge ones, and ids with several vectors."""
+    rng = random.Random(3)
+    rows = [(i % 60, [rng.choice((-1, 1)) * 10.0 ** rng.choice((-300, -200, 0, 1, 200, 300)) * x for x in own]) for i in range(150) for own in [[rng.gauss(0, 1) for _ in range(1 + i % 3)]]]
+    rows += [(5, [1.0, 2.0]), (5, [1.0, 2.01]), (5, [-2.0, 1.0]), (None, [3.0, 6.0])]
+
+    def cosine(a, b):
+        a, b = ([Fraction(x) for x in v] for v in (a, b))
+        dot, square = sum(x * y for x, y in zip(a, b)), sum(x * x for x in a) * sum(x * x for x in b)
+        return dot > 0 and dot * dot / square >= Fraction(81, 100)
+
+    n = len(rows)
+    near = [[i != j and len(rows[i][1]) == len(rows[j][1]) and cosine(rows[i][1], rows[j][1]) for j in range(n)] for i in range(n)]
+    want = Counter()
+    for i, (own, _) in enumerate(rows):
+        group, todo = {i}, [i]
+        while todo:
+            k = todo.pop()
+            more = [j for j in range(n) if near[k][j] and j not in group]
+            group.update(more), todo.extend(more)
+        low = min((rows[j][0] for j in group if rows[j][0] is not None), default=None)
+        want[own, sum(near[i]), low, own == low] += 1
+    out = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == want
+
+
+def test_planted_links_with_defaults(spark):
+    rng = np.random.default_rng(8)
+    base = embed_dedup.unit(rng.normal(size=(6000, 64)))
+    side = rng.normal(size=(1500, 64))
+    side = embed_dedup.unit(side - (side * base[:1500]).sum(axis=1, keepdims=True) * base[:1500])
+    cosines = rng.uniform(0.9, 0.94, 1500)[:, None]
+    x = np.concatenate((base, cosines * base[:1500] + np.sqrt(1 - cosines**2) * side))
+    truth = brute(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df).collect()}
+    got = np.array([out[i] for i in range(len(x))])
+    assert (got <= truth.sum(axis=1)).all() and got.sum() >= 0.98 * truth.sum()
+
+
 def test_production_recall_near_a_subspace(spark):
     rng = np.random.default_rng(4)
     n = 20_000

@@ -28,7 +28,9 @@ HOME_BLOCK, WALK_BLOCK = 512, 1024
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows at length 1. They are scaled by powers of two first, which is exact, so no square over- or underflows."""
     x = np.asarray(vectors, np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -40,7 +42,7 @@ def codebook(x: np.ndarray, size: int, seed: int, rounds: int = 12) -> np.ndarra
     """Lloyd's k-means from a seeded choice of rows; a code that loses all its rows stays where it is."""
     codes = x[np.random.default_rng(seed).choice(len(x), min(size, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        own = _apart(x, codes).argmin(axis=1)
+        own = np.concatenate([_apart(x[at : at + 4096], codes).argmin(axis=1) for at in range(0, len(x), 4096)])
         count = np.bincount(own, minlength=len(codes))
         total = np.zeros_like(codes)
         np.add.at(total, own, x)
@@ -75,13 +77,16 @@ class Index:
 
 def _beyond(index: Index, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How far beyond its own cell the nearer of the two walks of each pair has to go to meet the other's."""
-    da, db = index.distances(a), index.distances(b)
     beyond = []
-    for d, e in ((da, db), (db, da)):
-        home = index.homes(e)
-        rows = np.arange(len(home))
-        beyond.append(d[0][rows, home // len(index.second)] + d[1][rows, home % len(index.second)] - (index.reach(d) - index.slack))
-    return np.minimum(*beyond)
+    for at in range(0, len(a), 1024):
+        da, db = index.distances(a[at : at + 1024]), index.distances(b[at : at + 1024])
+        ways = []
+        for d, e in ((da, db), (db, da)):
+            home = index.homes(e)
+            rows = np.arange(len(home))
+            ways.append(d[0][rows, home // len(index.second)] + d[1][rows, home % len(index.second)] - (index.reach(d) - index.slack))
+        beyond.append(np.minimum(*ways))
+    return np.concatenate(beyond)
 
 
 def _neighbours(sample: np.ndarray, threshold: float, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,80 +165,106 @@ def _compare(home: pa.Table, walk: pa.Table, index: Index, threshold: float) ->
     return ids.tolist(), links.astype(np.int64).tolist(), ids[_roots(len(ids), a, b)].tolist()
 
 
-def near_duplicates(df: DataFrame, *, row_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = 0.99, sample_rows: int = 8192, per_cell: int = 512, most_codes: int = 256, seed: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, *, row_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = 0.99, sample_rows: int = 8192, per_cell: int = 512, most_codes: int = 2048, seed: int = 3) -> DataFrame:
     """(row_id, n_links, component_id, kept) for every row of ``df``.
 
-    Links join vectors whose cosine in double precision is ``threshold`` or more; none below it is given, and the share
-    found is calibrated to ``recall`` or more on a sample of at most ``sample_rows`` classes, which also trains the codebooks. n_links counts
+    Links join vectors of one length whose cosine in double precision is ``threshold`` or more; none below it is given, and the
+    share found is calibrated to ``recall`` or more on a sample, which also trains the codebooks: of at most ``sample_rows`` classes,
+    or 16 a code if that is more, so never above 16 x ``most_codes``. Vectors of each length have an index of their own. n_links counts
     the other rows linked directly, exact copies included; component_id is the smallest id reachable, itself included.
 
-    Vectors that are null, empty or zero, hold null or non-finite components or have another length than most, and rows without
-    an id, link with nothing: 0 links, their own id, kept. Repeated rows are copies. An empty table gives an empty table.
+    Vectors that are null, empty or zero or hold null or non-finite components link with nothing: 0 links, their own id, kept.
+    Rows without an id are linked like others but name no component; where no row of one has an id, component_id is null.
+    Repeated rows are copies, rows that share an id and differ in their vectors are rows of their own. An empty table
+    gives an empty table. Cells grow beyond ``per_cell`` only above ``most_codes`` squared times ``per_cell`` vectors (2 billion).
     """
     spark = df.sparkSession
     ship(spark)
     rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    fine = F.coalesce(F.col("id").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)) & (norm > 0) & (norm < float("inf")), F.lit(False))
-    sizes = rows.where(fine).groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
-    width = sizes[0].size if sizes else 0
-    rows = rows.withColumn("vector", F.when(fine & (F.size("vector") == width), F.col("vector")))
-    valid = rows.where("vector is not null")
-    classes = written(valid.groupBy("vector").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "embed-classes")
+    odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fine = F.coalesce(~odd & F.exists("vector", lambda x: x != 0), F.lit(False))
+    # A vector of one component is its sign.
+    rows = rows.withColumn("vector", F.when(fine, F.when(F.size("vector") == 1, F.transform("vector", lambda x: F.signum(x))).otherwise(F.col("vector"))))
+    classes = rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "embed-classes")
     known = classes.select(F.col("vector").alias("_vector"), "class")
     members = written(rows.join(known, F.col("vector") == F.col("_vector"), "left").select("id", "class"), "embed-members")
-    count = classes.count()
-    if count == 0 or width < 2:
-        out = members.withColumns({"links": F.lit(0), "root": F.col("class"), "copies": F.lit(1)})
-        return _finished(out, row_id)
+    widths = classes.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).where("size > 1 and n > 1").orderBy("size").collect()
+    found = spark.createDataFrame([], "id long, links long, root long")
+    for w in widths:  # almost always one
+        own = classes.where(F.size("vector") == w["size"]) if len(widths) > 1 else classes
+        found = found.union(_search(own, w["n"], threshold, recall, sample_rows, per_cell, most_codes, seed))
+    links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "_id")
+    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "embed").withColumnRenamed("node", "_node")
+    named = classes.select(F.col("class").alias("_class"), "first_id", "copies").join(links, F.col("_class") == F.col("_id"), "left").join(roots, F.col("_class") == F.col("_node"), "left")
+    named = written(named.select("_class", "first_id", "copies", "links", F.coalesce("root", "_class").alias("root")), "embed-named")
+    lows = named.groupBy("root").agg(F.min("first_id").alias("low")).withColumnRenamed("root", "_root")
+    named = written(named.join(lows, F.col("root") == F.col("_root")).select("_class", "copies", "links", "low"), "embed-components")
+    out = members.join(named, F.col("class") == F.col("_class"), "left")
+    links = F.when(F.col("class").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
+    component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("low"))
+    return out.select(F.col("id").alias(row_id), links.alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
 
-    sample = classes.select("class", "vector").orderBy(F.xxhash64(F.lit(seed), "class"), "class").limit(sample_rows).toArrow()
+def _search(classes: DataFrame, count: int, threshold: float, recall: float, sample_rows: int, per_cell: int, most_codes: int, seed: int) -> DataFrame:
+    """(id, links, root) rows of the linked classes (class, vector, copies), vectors of one length: links to other classes, and one of them."""
+    spark = classes.sparkSession
     codes = min(most_codes, max(2, math.ceil(math.sqrt(count / per_cell))))
+    sample = classes.select("class", "vector").orderBy(F.xxhash64(F.lit(seed), "vector"), "class").limit(max(sample_rows, 16 * codes)).toArrow()
     index = build(unit(np.stack(sample.column("vector").to_numpy())), codes, threshold, recall, seed)
+    grid = len(index.first) * len(index.second)
 
-    def cells(table: pa.RecordBatch) -> tuple[np.ndarray, Iterator[np.ndarray]]:
-        d = index.distances(unit(np.stack(table.column("vector").to_numpy(zero_copy_only=False))))
-        reach = index.reach(d)
-        return index.homes(d), (index.walk(d[0][i], d[1][i], reach[i]) for i in range(len(reach)))
+    def distances(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return index.distances(unit(np.stack(table.column("vector").to_numpy(zero_copy_only=False))))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                home, walks = cells(b)
-                size = len(index.first) * len(index.second)
-                met = sum((np.bincount(w, minlength=size) for w in walks), np.zeros(size, np.int64))
-                held = np.bincount(home, minlength=size)
-                at = np.flatnonzero(met)
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "held": pa.array(held[at], pa.int64()), "met": pa.array(met[at], pa.int64())})
+        held, met = (np.zeros(grid, np.int64) for _ in range(2))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                d = distances(whole.slice(at, 256))
+                reach = index.reach(d)
+                np.add.at(held, index.homes(d), 1)
+                for i in range(len(reach)):
+                    met[index.walk(d[0][i], d[1][i], reach[i])] += 1  # a walk meets a cell once
+        at = np.flatnonzero(held + met)
+        for part in np.array_split(at, max(1, len(at) >> 16)):
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(part, pa.int64()), "held": pa.array(held[part], pa.int64()), "met": pa.array(met[part], pa.int64())})
 
     # One row a cell, at most ``most_codes`` squared.
     sums = classes.select("vector").mapInArrow(tally, "cell long, held long, met long").groupBy("cell").agg(F.sum("held").alias("held"), F.sum("met").alias("met")).toArrow()
-    held, met = (np.zeros(len(index.first) * len(index.second), np.int64) for _ in range(2))
+    held, met = (np.zeros(grid, np.int64) for _ in range(2))
     held[sums.column("cell").to_numpy()], met[sums.column("cell").to_numpy()] = sums.column("held").to_numpy(), sums.column("met").to_numpy()
-    home_blocks, walk_blocks = np.maximum(1, -(-held // HOME_BLOCK)), np.maximum(1, -(-met // WALK_BLOCK))
+    # How many blocks a cell has on either side, none where one of them is empty: two numbers a cell.
+    both = (held > 0) & (met > 0)
+    blocks = spark.sparkContext.broadcast(tuple(np.where(both, -(-n // size), 0).astype(np.int32) for n, size in ((held, HOME_BLOCK), (met, WALK_BLOCK))))
     schema = pa.schema([("cell", pa.int64()), ("hb", pa.int64()), ("wb", pa.int64()), ("id", pa.int64()), ("vector", pa.list_(pa.float64())), ("copies", pa.int64())])
     ddl = "cell long, hb long, wb long, id long, vector array<double>, copies long"
 
+    def spans(n: np.ndarray) -> np.ndarray:
+        """0 to n - 1 for each of the counts, end to end."""
+        return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
     def dealt(kind: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            home_blocks, walk_blocks = blocks.value
             for whole in batches:
                 for at in range(0, whole.num_rows, 256):
                     b = whole.slice(at, 256)
-                    home, walks = cells(b)
-                    salt = b.column("salt").to_numpy()
-                    take, cell, hb, wb = [], [], [], []
-                    for i, w in enumerate(walks):
-                        if kind == "home":
-                            c = home[i]
-                            n = walk_blocks[c] if met[c] else 0
-                            take.append(np.full(n, i)), cell.append(np.full(n, c)), hb.append(np.full(n, salt[i] % home_blocks[c])), wb.append(np.arange(n))
-                        else:
-                            w = w[held[w] > 0]
-                            n = home_blocks[w]
-                            each = np.repeat(w, n)
-                            take.append(np.full(len(each), i)), cell.append(each), hb.append(np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)), wb.append(salt[i] % walk_blocks[each])
-                    own = b.select(["class", "vector", "copies"]).take(pa.array(np.concatenate(take)))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x), pa.int64()) for x in (cell, hb, wb)), *own.columns], schema=schema)
+                    d, salt = distances(b), b.column("salt").to_numpy()
+                    if kind == "home":
+                        home = index.homes(d)
+                        n = walk_blocks[home]
+                        take = np.repeat(np.arange(b.num_rows), n)
+                        cell, hb, wb = home[take], salt[take] % np.maximum(1, home_blocks[home[take]]), spans(n)
+                    else:
+                        reach = index.reach(d)
+                        walks = [index.walk(d[0][i], d[1][i], reach[i]) for i in range(b.num_rows)]
+                        row, met_cells = np.repeat(np.arange(b.num_rows), [len(w) for w in walks]), np.concatenate(walks)
+                        n = home_blocks[met_cells]
+                        take, cell, hb = np.repeat(row, n), np.repeat(met_cells, n), spans(n)
+                        wb = salt[take] % np.maximum(1, walk_blocks[cell])
+                    own = b.select(["class", "vector", "copies"]).take(pa.array(take))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (cell, hb, wb)), *own.columns], schema=schema)
 
         return classes.select("class", "vector", "copies", F.abs(F.xxhash64("class") % 1_000_003).alias("salt")).mapInArrow(run, ddl)
 
@@ -242,17 +273,4 @@ def near_duplicates(df: DataFrame, *, row_id: str = "vec_id", vector: str = "emb
         return pa.table([pa.array(x, pa.int64()) for x in got], names=["id", "links", "root"])
 
     keys = ("cell", "hb", "wb")
-    found = dealt("home").groupBy(*keys).cogroup(dealt("walk").groupBy(*keys)).applyInArrow(compare, "id long, links long, root long")
-    found = written(found, "embed-links")
-    links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "_id")
-    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "embed").withColumnRenamed("node", "_node")
-    named = classes.select(F.col("class").alias("_class"), "copies").join(links, F.col("_class") == F.col("_id"), "left").join(roots, F.col("_class") == F.col("_node"), "left")
-    named = written(named.select("_class", "copies", "links", "root"), "embed-named")
-    out = members.join(named, F.col("class") == F.col("_class"), "left")
-    return _finished(out, row_id)
-
-
-def _finished(out: DataFrame, row_id: str) -> DataFrame:
-    links = F.when(F.col("class").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
-    component = F.coalesce("root", "class", "id")
-    return out.select(F.col("id").alias(row_id), links.alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return written(dealt("home").groupBy(*keys).cogroup(dealt("walk").groupBy(*keys)).applyInArrow(compare, "id long, links long, root long"), "embed-links")
