@@ -152,3 +152,11 @@ def test_operator(spark):
         assert len(r.rgb) == r.height * r.width * 3
     assert out[0].media_sha256 == out[4].media_sha256 and out[0].feature == out[4].feature and out[1].feature == out[2].feature
     assert media.from_media(media.to_media(df.limit(0))).count() == 0
+
+
+def test_bands_are_the_whole_and_null_files_are_null(spark):
+    image = media.decode(media.encode(media.pad(bytes(range(256)) * 300)))
+    assert (media.rgb(image, band=1) == media.rgb(image)).all() and (media.rgb(image, band=5000) == media.rgb(image)).all()
+    df = spark.createDataFrame([(1, 5, None), (2, 3, bytearray(media.encode(media.pad(b"abc"))))], "doc_id long, n_bytes long, media binary")
+    out = {r.doc_id: r for r in media.from_media(df).collect()}
+    assert out[1].payload_sha256 is None and out[1].rgb is None and out[2].payload_bytes == 192 and len(out[2].rgb) == 3 * out[2].height * out[2].width

@@ -387,23 +387,35 @@ def _correct(coefficients: np.ndarray, rows: np.ndarray, bits: _Bits, first: int
     coefficients[rows, first : last + 1] = own
 
 
-def rgb(image: Image) -> np.ndarray:
-    """The full-resolution tensor, height x width x 3 of 8-bit samples."""
+def _plane(c: Component, table: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Samples of block rows ``first`` to ``last`` of a component, inverse-transformed in one go."""
+    own = c.coefficients[first * c.wide : last * c.wide]
+    natural = np.zeros(own.shape, np.float32)
+    natural[:, ZIGZAG] = own * table
+    half = (natural.reshape(-1, 8) @ _COS).reshape(-1, 8, 8)  # along rows
+    full = (half.transpose(0, 2, 1).reshape(-1, 8) @ _COS).reshape(last - first, c.wide, 8, 8)
+    return full.transpose(0, 3, 1, 2).reshape((last - first) * 8, c.wide * 8)
+
+
+def rgb(image: Image, band: int = 1 << 21) -> np.ndarray:
+    """The full-resolution tensor, height x width x 3 of 8-bit samples, computed in bands of about ``band`` pixels."""
     tall, wide = max(c.v for c in image.components), max(c.h for c in image.components)
-    planes = []
-    for c in image.components:
-        natural = np.zeros(c.coefficients.shape, np.float32)
-        natural[:, ZIGZAG] = c.coefficients * image.tables[c.table]
-        half = (natural.reshape(-1, 8) @ _COS).reshape(-1, 8, 8)  # along rows
-        full = (half.transpose(0, 2, 1).reshape(-1, 8) @ _COS).reshape(c.high, c.wide, 8, 8)
-        plane = full.transpose(0, 3, 1, 2).reshape(c.high * 8, c.wide * 8)
-        plane = plane.repeat(tall // c.v, axis=0).repeat(wide // c.h, axis=1)
-        planes.append(np.clip(np.rint(plane + 128), 0, 255)[: image.height, : image.width])
-    if len(planes) == 1:
-        return np.repeat(planes[0].astype(np.uint8)[:, :, None], 3, axis=2)
-    y, blue, red = planes[0], planes[1] - 128, planes[2] - 128
-    out = np.stack((y + 1.402 * red, y - 0.344136 * blue - 0.714136 * red, y + 1.772 * blue), axis=2)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    out = np.zeros((image.height, image.width, 3), np.uint8)
+    rows = max(1, band // max(1, 8 * tall * image.width))  # rows of units in a band
+    for first in range(0, -(-image.height // (8 * tall)), rows):
+        top, end = first * 8 * tall, min(image.height, (first + rows) * 8 * tall)
+        planes = []
+        for c in image.components:
+            plane = _plane(c, image.tables[c.table], first * c.v, min(c.high, (first + rows) * c.v))
+            plane = plane.repeat(tall // c.v, axis=0).repeat(wide // c.h, axis=1)
+            planes.append(np.clip(np.rint(plane + 128), 0, 255)[: end - top, : image.width])
+        if len(planes) == 1:
+            out[top:end] = planes[0][:, :, None]
+            continue
+        y, blue, red = planes[0], planes[1] - 128, planes[2] - 128
+        part = np.stack((y + 1.402 * red, y - 0.344136 * blue - 0.714136 * red, y + 1.772 * blue), axis=2)
+        out[top:end] = np.clip(np.rint(part), 0, 255)
+    return out
 
 
 def payload_of(image: Image) -> bytes:
@@ -449,7 +461,8 @@ def to_media(df: DataFrame, *, row_id: str = "doc_id", text: str = "text") -> Da
 def from_media(df: DataFrame, *, row_id: str = "doc_id", tensor: bool = True) -> DataFrame:
     """Read the files in ``media`` back: the payload's digests, the file's digests, the feature and, with ``tensor``, the RGB tensor.
 
-    The tensor is ``rgb`` (binary, row by row, three bytes a pixel) with ``height`` and ``width``. A null file raises.
+    The tensor is ``rgb`` (binary, row by row, three bytes a pixel) with ``height`` and ``width``. A null file gives nulls, one that
+    is no whole progressive JPEG raises. Beside the file and its coefficients a task holds one tensor and a band of samples.
     """
     ship(df.sparkSession)
     fields = [(row_id, pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
@@ -461,6 +474,9 @@ def from_media(df: DataFrame, *, row_id: str = "doc_id", tensor: bool = True) ->
             rows, held = [], 0
             for own, n, media in zip(*(b.column(i) for i in range(3))):
                 data = media.as_py()
+                if data is None:
+                    rows.append((own.as_py(), n.as_py(), *[None] * (len(schema) - 2)))
+                    continue
                 image = decode(data)
                 payload, pixels = payload_of(image), rgb(image)
                 row = (own.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), describe(pixels))

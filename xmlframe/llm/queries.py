@@ -32,7 +32,8 @@ def vocabulary() -> str:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.from_media(media.to_media(_read(spark, sf_dir, "documents")), tensor=False)
+    files = written(media.to_media(_read(spark, sf_dir, "documents")), "media", compression="zstd")
+    return media.from_media(files, tensor=False)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
