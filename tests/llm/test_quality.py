@@ -52,3 +52,13 @@ def test_held_out_toxic_recall_by_language(spark):
     assert out[out.grade == 2].kept.mean() > 0.99
     passed = out[out.grade == 1].groupby("lang").kept.mean()
     assert len(passed) == 4 and (passed < 0.4).all(), passed
+
+
+def test_ids_of_many_rows_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(i, "good words" if i % 2 else "bad words") for i in range(40)] + [(1, "good words")] * 500, "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(40)], "doc_id long, grade int")
+    once = quality.train(docs.dropDuplicates(["doc_id", "text"]), ratings)
+    model = quality.train(docs, ratings)
+    assert (model.weights == once.weights).all() and (model.thresholds == once.thresholds).all()
+    out = quality.score(docs.withColumn("_rated", docs.doc_id), model)
+    assert out.columns == ["doc_id", "text", "_rated", "expected_grade", "p_good", "kept"]

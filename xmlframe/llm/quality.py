@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xmlframe.llm.common import ship
+from xmlframe.llm.common import fresh, ship
 
 _EDGE = ".,;:!?\"'()[]{}<>|«»„“”…"
 _LETTER, _UPPER, _MARK, _DIGIT = (np.zeros(256, bool) for _ in range(4))
@@ -153,11 +153,13 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, *, row_id: str = "doc_id", text: str = "text", sample_rows: int = 8000, bits: int = 26, seed: int = 5, least_z: float = 4.0, **options) -> Model:
-    """Fit on at most ``sample_rows`` of ``ratings`` (doc_id, grade), with the texts of ``docs``."""
+    """Fit on at most ``sample_rows`` of ``ratings`` (doc_id, grade), with the texts of ``docs``: one for each id, by a hash of the texts."""
     ship(docs.sparkSession)
     # At most ``sample_rows`` pairs of numbers, so the join may send them to every task.
     sample = ratings.select(F.col("doc_id").cast("long").alias("_id"), "grade").orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(sample_rows)
     rows = docs.select(F.col(row_id).cast("long").alias("_row"), F.col(text).cast("string").alias("_text")).join(F.broadcast(sample), F.col("_row") == F.col("_id"))
+    # However many rows an id has, one text of it is learned from.
+    rows = rows.groupBy("_row", "grade").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text"))["_text"].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,5 +194,6 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", at_least: int =
     if k < 0:
         nothing: Column = F.lit(None).cast("double")
         return docs.withColumns({"expected_grade": nothing, "p_good": nothing, "kept": F.lit(True)})
-    out = docs.withColumn("_rated", rate(F.col(text).cast("string")))
-    return out.withColumns({"expected_grade": F.col("_rated.expected_grade"), "p_good": F.col("_rated.p_good"), "kept": F.col("_rated.p_good") >= least}).drop("_rated")
+    (rated,) = fresh(docs, "_rated")
+    out = docs.withColumn(rated, rate(F.col(text).cast("string")))
+    return out.withColumns({"expected_grade": F.col(rated)["expected_grade"], "p_good": F.col(rated)["p_good"], "kept": F.col(rated)["p_good"] >= least}).drop(rated)
