@@ -81,3 +81,10 @@ def test_edges(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = packing.pack_documents(df, PATH, parts=4).collect()
     assert sum(r.length for r in out) == sum(1 + (t is not None) for _, t in rows)
+
+
+def test_equal_rows_without_ids(spark):
+    df = spark.createDataFrame([(None, "the very same words")] * 4000, "doc_id long, text string").repartition(8)
+    out = packing.pack_documents(df, PATH, part_rows=256).collect()
+    places = {(r.sequence_id, r.offset + i) for r in out for i in range(r.length)}
+    assert len(places) == sum(r.length for r in out) == 4000 * out[0].n

@@ -12,7 +12,10 @@ are packed into windows of 16 units and tails into windows of one unit, by the s
 Full tail windows are units: they follow the heads' residual. The last window is cut at powers of two, which need no
 padding. So every sequence is full, or has a length of a power of two.
 
-Only histograms of at most 255 lengths, in a fixed number of hash parts, reach the driver. The plan is a function of
+A document is cut at multiples of 4096 and 256 even where it would fit a window whole: heads of few lengths are what lets the
+counts come out and sequences have no padding.
+
+Only histograms of at most 255 lengths reach the driver, one for each of at most 16,384 parts of the rows. The plan is a function of
 (length, rank among the pieces of this length), so placing a piece needs its rank and no further shuffle.
 """
 
@@ -212,17 +215,20 @@ def _last_sequences(total: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(tokens: DataFrame, *, depths: tuple[int, int] = (4, 3), parts: int = 1024, seed: int = 11) -> DataFrame:
+def pack(tokens: DataFrame, *, depths: tuple[int, int] = (4, 3), parts: int | None = None, part_rows: int = 1 << 14, most_parts: int = 1 << 14, seed: int = 11) -> DataFrame:
     """Pieces of all documents of ``tokens`` (written rows as ``tokenized`` gives them, whose ids may be left out).
 
     Gives row_id, start, length, crc (null if ``tokens`` has no crcs), n, sequence_id, offset: each id lies in one piece, pieces of a
     sequence lie gapless from 0, a sequence holds 4096 ids or a power of two. Null and repeated row ids are packed like
-    others; an empty table gives no piece.
+    others; an empty table gives no piece. Rows are ranked in parts of about ``part_rows`` rows, larger ones only above ``most_parts`` of
+    these; rows alike in id and ids are parted by the files they lie in.
     """
-    ship(tokens.sparkSession)
+    spark = tokens.sparkSession
+    ship(spark)
+    parts = parts or min(most_parts, max(1, -(-tokens.count() // part_rows)))
     rest = F.col("n") % WINDOW
     rows = tokens.select("row_id", "n", "crcs").withColumns({"full": F.floor(F.col("n") / WINDOW).cast("long"), "head": F.floor(rest / UNIT).cast("int"), "tail": (rest % UNIT).cast("int")})
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "row_id", "n", "crcs"), F.lit(parts)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "row_id", "n", "crcs", F.input_file_name()), F.lit(parts)).cast("int"))
     # At most ``parts`` times 255 + 15 + 1 sums, whatever the input.
     sums = rows.groupBy("part", "head", "tail").agg(F.count(F.lit(1)).alias("c"), F.sum("full").alias("f"))
     sums = sums.selectExpr("part", "stack(3, 0, 0, f, 1, head, c, 2, tail, c) as (kind, size, c)")
@@ -231,7 +237,7 @@ def pack(tokens: DataFrame, *, depths: tuple[int, int] = (4, 3), parts: int = 10
     col = np.array([0, 1, 1 + UNITS])[sums.column("kind").to_numpy()] + sums.column("size").to_numpy()
     np.add.at(before, (sums.column("part").to_numpy(), col), sums.column("c").to_numpy())
     whole = before.sum(axis=0)
-    before = np.cumsum(before, axis=0) - before
+    offsets = spark.sparkContext.broadcast(np.cumsum(before, axis=0) - before)  # at most ``most_parts`` times 273 numbers
     heads = plan({k: int(whole[1 + k]) for k in range(1, UNITS)}, UNITS, depths[0])
     tails = plan({t: int(whole[1 + UNITS + t]) for t in range(1, UNIT)}, UNIT, depths[1])
 
@@ -278,7 +284,7 @@ def pack(tokens: DataFrame, *, depths: tuple[int, int] = (4, 3), parts: int = 10
             ids, crcs = (b.column(b.schema.get_field_index(x)).to_pylist() for x in ("row_id", "crcs"))
             out: list[list] = [[] for _ in schema]
             for i, (part, n, full, head, tail, fr, hr, tr) in enumerate(zip(*(at[name] for name in names))):
-                own = before[part]
+                own = offsets.value[part]
                 found = pieces(n, full, head, tail, fr + int(own[0]), hr + int(own[1 + head]), tr + int(own[1 + UNITS + tail]))
                 for j, ((start, length), to) in enumerate(zip(cuts(n), found, strict=True)):
                     if to is not None:
