@@ -102,7 +102,7 @@ def spread(df: DataFrame, each: int) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // each)))
 
 
-def bits_for(rows: int, each: int = 1 << 16) -> int:
+def bits_for(rows: int, each: int = 1 << 13) -> int:
     """How many leading bits of a hash cut so many rows into parts of about ``each``."""
     return min(30, max(0, math.ceil(math.log2(max(1, rows) / each))))
 

@@ -32,7 +32,7 @@ def stratified_shards(df: DataFrame, shards: int, *, row_id: str = "doc_id", sou
     total = df.count()
     slices = max(1, -(-total // slice_rows))
     df = df.withColumns({own: key_of(source), hash_col: F.xxhash64(F.lit(seed), F.col(row_id), *ties)})
-    df = ranked(df, own, hash_col, [row_id, *ties], rank, size, bits_for(total, slice_rows))
+    df = ranked(df, own, hash_col, [row_id, *ties], rank, size, bits_for(total, min(slice_rows, 1 << 13)))
     df = df.withColumn(frac, (F.col(rank) + 0.5) / F.col(size))
     df = df.withColumn(piece, F.floor(F.col(frac) * slices).cast("int"))
     # One row for each ``slice_rows`` rows of the input, three numbers each: small enough to order in one task and to broadcast.
