@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_type
 
-from xmlframe.operators.reader_native import ERROR, NativeReader
+from xmlframe.operators.reader_fast import FastReader, NotPlain, decoded
+from xmlframe.operators.reader_native import ERROR, NativeReader, simple
 from xmlframe.operators.reader_python import Reader
 from xmlframe.operators.template import Template
 from xmlframe.operators.values import DataError
@@ -31,7 +32,7 @@ from xmlframe.plans.compiler import Compiler
 from xmlframe.plans.model import Complex, Element, Hook, Options, Simple
 from xmlframe.plans.shape import META, Shape, needs_order, uses_qname
 from xmlframe.sources.xml import XmlError
-from xmlframe.workers import ship
+from xmlframe.workers import fresh, ship
 
 _KNOWN = {f.name for f in fields_of(Options)}
 #: Back-ends by name; ``register`` adds further ones.
@@ -121,6 +122,16 @@ class CompiledReader:
         kind = S.StructType([S.StructField("data", self.shape), S.StructField("errors", S.ArrayType(ERROR))])
         read, shape, arrow = self.python.read, self.shape, to_arrow_type(kind)
 
+        def taken(item: dict) -> dict:
+            """An item that Arrow takes: a value that the Spark type can't hold becomes a violation."""
+            try:
+                pa.array([item], arrow)
+            except (pa.ArrowException, ArithmeticError, OverflowError, TypeError, ValueError) as e:
+                return {"data": None, "errors": [{"code": "value", "path": root, "message": f"illegal value at {root}: {e}"}]}
+            return item
+
+        root = self.element.path if isinstance(self.element, Element) else self.element.local
+
         @F.arrow_udf(kind)
         def run(messages: pa.Array) -> pa.Array:
             out = []
@@ -134,7 +145,10 @@ class CompiledReader:
                     except XmlError as e:
                         errors.append({"code": "xml", "path": "", "message": str(e)})
                 out.append({"data": data, "errors": errors})
-            return pa.array(out, arrow)
+            try:
+                return pa.array(out, arrow)
+            except (pa.ArrowException, ArithmeticError, OverflowError, TypeError, ValueError):
+                return pa.array([taken(x) for x in out], arrow)
 
         return run(xml)
 
@@ -144,25 +158,61 @@ class CompiledReader:
         FAILFAST raises the first violation, PERMISSIVE gives null data and adds ``errors``, DROPMALFORMED leaves violators out.
         """
         ship(df.sparkSession)
-        if self.native:  # parse in a projection of its own: all expressions on the parsed column are then compiled code
-            native = NativeReader(self.element, self.options)
-            own = df.withColumn("_texts", native.texts(F.col(xml))).withColumn("_read", native.result(F.col(xml), F.col("_texts")))
-        else:
-            own = df.withColumn("_read", self.column(F.col(xml)))
+        read, data_col = fresh(df, "_read", "_data")
+        own = self._native_frame(df, xml, read) if self.native else df.withColumn(read, self.column(F.col(xml)))
+        # Filters on what is read stop at a generator of one row, else Catalyst would read messages a second time below them; others pass.
+        own = own.select(*keep, F.explode(F.array(read)).alias(read))
         if mode == "DROPMALFORMED":
-            own = own.where(F.size("_read.errors") == 0)
-        data = F.col("_read.data")
+            own = own.where(F.size(F.col(read)["errors"]) == 0)
+        data = F.col(read)["data"]
         if mode == "FAILFAST":
-            failed = F.raise_error(F.get("_read.errors", F.lit(0))["message"]).cast(self.shape)
-            own = own.withColumn("_data", F.when(F.size("_read.errors") > 0, failed).otherwise(data))
-            data = F.col("_data")
+            failed = F.raise_error(F.get(F.col(read)["errors"], F.lit(0))["message"]).cast(self.shape)
+            own = own.withColumn(data_col, F.when(F.size(F.col(read)["errors"]) > 0, failed).otherwise(data))
+            data = F.col(data_col)
         if isinstance(self.shape, S.StructType):
             cols = [data[f.name].alias(f.name) for f in self.shape.fields]
         else:
             cols = [data.alias("value")]
-        errors = [F.col("_read.errors").alias("errors")] if mode == "PERMISSIVE" else []
+        errors = [F.col(read)["errors"].alias("errors")] if mode == "PERMISSIVE" else []
         return own.select(*keep, *cols, *errors)
 
+    def json(self, df: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ()) -> DataFrame:
+        """Each message as one line of JSON, in column ``json`` behind the columns to ``keep``: ready for ``write.text``."""
+        out = self.frame(df, xml, keep=keep)
+        data = F.struct(*(c for c in out.columns if c not in keep)) if isinstance(self.shape, S.StructType) else F.struct("value")
+        return out.select(*keep, F.to_json(data).alias("json"))
+
+    def _native_frame(self, df: DataFrame, xml: str, out: str) -> DataFrame:
+        """Column ``out``, a struct (data, errors). Steps are projections of their own, so each is computed once and compiled."""
+        native = NativeReader(self.element, self.options)
+        whole, skeleton, plain, pairs, texts, value, wrong, slow = fresh(df, "_whole", "_skeleton", "_plain", "_pairs", "_texts", "_value", "_wrong", "_slow")
+        message = F.col(xml)
+        try:
+            fast = FastReader(self.element, self.options)
+            is_plain = fast.plain(F.col(whole), F.col(skeleton))
+        except NotPlain:
+            own = df.withColumn(texts, native.texts(message))
+            return own.withColumn(out, native.result(message, F.col(texts)))
+        own = df.withColumn(whole, fast.whole(message)).withColumn(skeleton, fast.skeleton(F.col(whole))).withColumn(plain, is_plain)
+        own = own.withColumn(whole, F.when(F.col(plain), fast.bare(F.col(whole))))
+        found = fast.repeats(F.col(whole))
+        if found:
+            own = own.withColumn(pairs, F.when(F.col(plain), F.struct(*(c.alias(f"p{i}") for i, c in enumerate(found.values())))))
+        bound = {k: F.col(pairs)[f"p{i}"] for i, k in enumerate(found)}
+        leaves = fast.leaves(F.col(whole))
+        names = fresh(own, *(f"_t{i}" for i in range(len(leaves))))
+        own = own.withColumns({n: F.when(F.col(plain), text) for n, (_, _, text, _) in zip(names, leaves)})
+        own = own.withColumns({n: decoded(F.col(n)) for n in names})
+        values = fresh(own, *(f"_v{i}" for i in range(len(leaves))))
+        own = own.withColumns({v: simple(t, F.col(n), path, self.options)[0] for n, v, (_, t, _, path) in zip(names, values, leaves)})
+        fast.texts_of = {k: F.col(n) for n, (k, *_) in zip(names, leaves)}
+        fast.values_of = {k: F.col(v) for v, (k, *_) in zip(values, leaves)}
+        data, errors = fast.values(F.col(whole), bound)
+        own = own.withColumn(value, data).withColumn(wrong, F.when(F.col(plain), errors))
+        own = own.withColumn(slow, F.when(~F.col(plain), native.column(message)))
+        read = F.struct(F.when(F.size(wrong) == 0, F.col(value)).cast(self.shape).alias("data"), F.col(wrong).alias("errors"))
+        return own.withColumn(out, F.when(F.col(plain), read).otherwise(F.col(slow)))
+
 
 class CompiledWriter:
     """Writes messages of one element, by Catalyst where it can."""
@@ -244,7 +294,10 @@ class XmlSchema(Catalog):
         compiler = Compiler(self, options)
         if self.find("element", name) is None and self.find("attribute", name) is not None:
             return compiler.attribute(name)
-        return compiler.element(name)
+        out = compiler.element(name)
+        if options.path is not None:
+            out.path = options.path
+        return out
 
     def reader(self, name: str, **options) -> CompiledReader:
         o = self._options(options)
@@ -265,7 +318,7 @@ class XmlSchema(Catalog):
     def template(self, output: str, name: str, *, comments: str = "ALL", indent: str = "  ", **options):
         """An example of the element: ``DATA`` (a commented Python literal), ``XML`` or ``TREE`` (nested dictionaries)."""
         o = self._options(options)
-        return Template(self._root(name, o), o, comments, indent).render(output)
+        return Template(self._root(name, o), o, comments, indent, self._extends(o)).render(output)
 
     def compile(self, action: str, name: str, **options):
         """READER, WRITER or a registered back-end."""

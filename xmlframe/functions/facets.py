@@ -198,7 +198,12 @@ def lexical_cols(f: Facets, text: Column) -> list[Violation]:
     return bad
 
 
-def value_cols(f: Facets, kind: str, text: Column, value: Column, *, is_list: bool = False, date_facets: str = "lexical") -> list[Violation]:
+def _fits(bound: str, kind: str) -> bool:
+    whole, _, part = bound.strip().lstrip("+-").partition(".")
+    return len(whole.lstrip("0")) <= (38 if kind == "integer" else 20) and len(part.rstrip("0")) <= 18
+
+
+def value_cols(f: Facets, kind: str, text: Column, value: Column, *, is_list: bool = False, date_facets: str = "lexical", as_text: bool = False) -> list[Violation]:
     bad: list[Violation] = []
     for name, bound in f.bounds:
         sign = BOUNDS[name]
@@ -206,6 +211,8 @@ def value_cols(f: Facets, kind: str, text: Column, value: Column, *, is_list: bo
             ok = _COMPARE[sign](duration2secs_col(text), F.lit(duration2secs(bound)))
         elif kind == "date":
             ok = _COMPARE[sign if date_facets == "strict" else sign.rstrip("=")](text, F.lit(bound))
+        elif kind in ("integer", "decimal") and (as_text or not _fits(bound, kind)):
+            ok = _COMPARE[sign](T.compare_col(text, bound), F.lit(0))
         elif kind in ("integer", "decimal"):
             ok = _COMPARE[sign](value, F.lit(Decimal(bound)))
         elif kind == "float":

@@ -10,6 +10,7 @@ import base64
 import math
 import re
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 from decimal import Decimal
 from functools import cache
 
@@ -114,9 +115,11 @@ SLOPPY_INTEGERS = frozenset({"integer", "long", "nonPositiveInteger", "negativeI
 SLOPPY_FLOATS = frozenset({"decimal", "float", "double", "precisionDecimal"})
 
 
-def resolve(name: str, *, sloppy_integers: bool = False, sloppy_floats: bool = False) -> Builtin:
-    """The built-in of a name, on native numbers where the options ask for them."""
+def resolve(name: str, *, sloppy_integers: bool = False, sloppy_floats: bool = False, big_numbers: str = "error") -> Builtin:
+    """The built-in of a name: on native numbers where the options ask for them, or numbers without bounds as texts."""
     b = BUILTINS[name]
+    if big_numbers == "string" and b.kind in ("integer", "decimal") and (b.low is None or b.high is None) and not (sloppy_integers and name in SLOPPY_INTEGERS) and not (sloppy_floats and name in SLOPPY_FLOATS):
+        return Builtin(b.name, b.base, "string", b.check, b.space, b.kind, b.low, b.high)
     if sloppy_integers and name in SLOPPY_INTEGERS:
         return Builtin(b.name, b.base, "bigint", b.check, b.space, b.kind, b.low, b.high)
     if sloppy_floats and name in SLOPPY_FLOATS:
@@ -162,14 +165,25 @@ def valid(b: Builtin, text: str) -> bool:
 
 
 def value(b: Builtin, text: str):
-    """The value of a checked text."""
+    """The value of a checked text; ValueError where the Spark type can't hold it."""
     t = spaced(text, b.space)
     if b.kind == "boolean":
         return t.strip().lower() in ("true", "1")
     if b.kind == "integer":
-        return Decimal(t) if b.spark.startswith("decimal") else int(t)
+        if b.spark == "string":
+            return t
+        x = int(t)
+        low, high = _RANGES.get(b.spark, (1 - 10**38, 10**38 - 1))
+        if not low <= x <= high:
+            raise ValueError(f"{t} doesn't fit {b.spark}")
+        return Decimal(x) if b.spark.startswith("decimal") else x
     if b.kind == "decimal":
-        return Decimal(t).quantize(Decimal("1e-18")) if len(t) < 38 else Decimal(t)
+        if b.spark == "string":
+            return t
+        whole, _, part = t.lstrip("+-").partition(".")
+        if len(whole.lstrip("0")) > 20 or len(part.rstrip("0")) > 18:
+            raise ValueError(f"{t} doesn't fit {b.spark}")
+        return Decimal(t)
     if b.kind == "float":
         return float({"INF": "inf", "+INF": "inf", "-INF": "-inf"}.get(t, t))
     if b.kind == "base64":
@@ -179,8 +193,21 @@ def value(b: Builtin, text: str):
     return t
 
 
+_RANGES = {"bigint": (-(2**63), 2**63 - 1), "int": (-(2**31), 2**31 - 1), "smallint": (-(2**15), 2**15 - 1), "tinyint": (-128, 127)}
+#: Types that the writer gives a number of seconds since 1970.
+STAMPS = ("dateTime", "dateTimeStamp")
+
+
+def stamp(seconds: str) -> str:
+    """The UTC time of a number of seconds since 1970, with the fraction as it was written."""
+    whole, dot, part = seconds.partition(".")
+    return (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=int(whole or 0))).strftime("%Y-%m-%dT%H:%M:%S") + (f".{part}" if part else "") + "Z"
+
+
 def text_of(b: Builtin, x) -> str:
     """The lexical form that the writer gives a value; texts pass through and are checked like any other."""
+    if b.name in STAMPS and not isinstance(x, bool) and re.fullmatch(r"[0-9]+(?:\.[0-9]*)?", t := format(x, "f") if isinstance(x, Decimal) else str(x)):
+        return stamp(t.rstrip("0").rstrip(".") if "." in t else t)
     if isinstance(x, bool):
         return "true" if x else "false"
     if isinstance(x, (bytes, bytearray, memoryview)):
@@ -215,12 +242,45 @@ def valid_col(b: Builtin, text: Column) -> Column | None:
         x = spaced_col(text, "remove").try_cast("decimal(38,0)")
         inside = [*([x >= F.lit(Decimal(b.low))] if b.low is not None else []), *([x <= F.lit(Decimal(b.high))] if b.high is not None else [])]
         for c in inside:
-            ok = ok & F.coalesce(c, text.isNull())
+            ok = ok & F.coalesce(c, F.lit(b.spark == "string") | text.isNull())
     return ok
 
 
+def checked_col(b: Builtin, text: Column, check: bool) -> tuple[Column, Column | None]:
+    """(value, whether it holds): plain numbers are known by a short pattern and cast, others take the whole check.
+
+    A null text has a null value and holds. A text that the Spark type can't hold doesn't, whether or not forms are checked.
+    """
+    if b.kind not in ("integer", "decimal", "float") or b.spark == "string":
+        ok = valid_col(b, text) if check else None
+        if ok is None:
+            return value_col(b, text), None
+        return F.when(ok, value_col(b, text)), ok
+    # Forms that casts read as the language means them.
+    plain = {"integer": r"^[+-]?[0-9]+$", "decimal": r"^[+-]?[0-9]{1,20}(?:\.[0-9]{0,18})?$", "float": r"^[+-]?[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?$"}[b.kind]
+    value = F.when(text.rlike(plain), text.try_cast(b.spark))
+    inside = [*([value >= F.lit(b.low)] if b.low is not None and not _held(b, b.low) else []), *([value <= F.lit(b.high)] if b.high is not None and not _held(b, b.high) else [])]
+    for c in inside:
+        value = F.when(c, value)
+    other = value_col(b, text)
+    if b.kind == "decimal":
+        t = spaced_col(text, b.space)
+        other = F.when(~t.rlike(r"^[+-]?0*[0-9]{21}") & ~t.rlike(r"\.[0-9]{18}[0-9]*[1-9]"), other)
+    if check:
+        other = F.when(valid_col(b, text), other)
+    value = F.coalesce(value, other)
+    return value, value.isNotNull() | text.isNull()
+
+
+def _held(b: Builtin, bound: int) -> bool:
+    """Whether a bound is that of the Spark type itself."""
+    return bound in _RANGES.get(b.spark, ())
+
+
 def value_col(b: Builtin, text: Column) -> Column:
     t = spaced_col(text, b.space)
+    if b.spark == "string" and b.kind in ("integer", "decimal"):
+        return t
     if b.kind == "boolean":
         return F.lower(F.trim(t)).isin("true", "1")
     if b.kind in ("integer", "decimal"):
@@ -246,6 +306,33 @@ def text_col(b: Builtin, x: Column) -> Column:
         return F.regexp_replace(F.base64(x.cast("binary")), r"[\r\n]", "")
     if b.kind == "hex":
         return F.hex(x.cast("binary"))
+    if b.name in STAMPS:
+        t = x.cast("string")
+        whole, part = F.regexp_extract(t, r"^([0-9]+)", 1), F.regexp_extract(t, r"\.([0-9]*?)0*$", 1)
+        seconds = F.coalesce(whole.try_cast("bigint"), F.lit(0))
+        days, rest = F.floor(seconds / 86400).cast("int"), (seconds % 86400).cast("decimal(18,6)")
+        at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days, F.lit(0), F.lit(0), rest)
+        made = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)), F.lit("Z"))
+        return F.when(t.rlike(r"^[0-9]+(?:\.[0-9]*)?$"), made).otherwise(t)
     return x.cast("string")
 
 
+def _parts(text: Column) -> tuple[Column, Column, Column]:
+    """(negative, whole digits without leading zeros, fraction digits without closing zeros) of a number's text."""
+    whole = F.regexp_extract(text, r"^[+-]?0*([0-9]*)", 1)
+    part = F.regexp_replace(F.regexp_extract(text, r"\.([0-9]*)$", 1), "0+$", "")
+    return text.startswith("-") & ((whole != "") | (part != "")), whole, part
+
+
+def compare_col(text: Column, bound: str) -> Column:
+    """-1, 0 or 1 as a number's text is less than, equal to or greater than the bound, for numbers of any length."""
+    negative, whole, part = _parts(text)
+    b = Decimal(bound)
+    low = b.is_signed() and b != 0
+    b_whole, _, b_part = format(abs(b), "f").partition(".")
+    b_whole, b_part = b_whole.lstrip("0"), b_part.rstrip("0")
+    size = F.length(whole)
+    more = (size > len(b_whole)) | (size == len(b_whole)) & ((whole > b_whole) | (whole == b_whole) & (part > b_part))
+    same = (whole == b_whole) & (part == b_part)
+    apart = F.when(same, 0).when(more, -1 if low else 1).otherwise(1 if low else -1)
+    return F.when(negative, apart if low else F.lit(-1)).otherwise(F.lit(1) if low else apart)

@@ -6,6 +6,7 @@ one would replace the first. Violations become an array of (code, path, message)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -17,7 +18,7 @@ from xmlframe.functions import facets as FA
 from xmlframe.functions import types as T
 from xmlframe.operators.values import read_simple
 from xmlframe.plans.model import Attribute, Complex, Element, Group, Options, Particle, Simple
-from xmlframe.plans.shape import Shape, out_of_order
+from xmlframe.plans.shape import Shape, elsewhere, not_in, out_of_order
 
 ERROR = S.StructType([S.StructField("code", S.StringType()), S.StructField("path", S.StringType()), S.StructField("message", S.StringType())])
 _VALUE, _ANY = "_VALUE", "xs_any"
@@ -57,15 +58,15 @@ def joined(errors: list[Error]) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else _none()
 
 
-def simple(t: Simple, text: Column, path: str, options: Options) -> Value:
-    """Value and errors of a text; a null text gives a null value and no error."""
+def simple(t: Simple, text: Column, path: str, options: Options, known: Column | None = None) -> Value:
+    """Value and errors of a text; a null text gives a null value and no error. ``known`` is a column that has the value already."""
     if t.variety == "union":
         fits = []
         for m in t.members:
             _, errors = simple(m, text, path, options)
             squeezed = FA.space_col(FA.Facets(space="collapse"), text) if m.builtin and m.builtin.kind != "text" else text
             fits.append(F.when(F.size(joined(errors)) == 0, squeezed))
-        value = F.coalesce(*fits)
+        value = F.coalesce(*fits) if known is None else known
         return value, [_error(text.isNotNull() & value.isNull(), "union", path, F.concat(F.lit("no match for `"), text, F.lit(f"' in union at {path}#union")))]
     errors: list[Error] = []
     for f in t.steps:
@@ -78,19 +79,18 @@ def simple(t: Simple, text: Column, path: str, options: Options) -> Value:
             errors.append(_error(~text.rlike(t.builtin.check), "value", path, _illegal(text, t, path)))
         trimmed = FA.space_col(FA.Facets(space="collapse"), text)
         items = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
-        value = F.transform(items, lambda x: simple(t.item, x, path, options)[0])
+        value = F.transform(items, lambda x: simple(t.item, x, path, options)[0]) if known is None else known
         errors.append(Error(None, F.coalesce(F.flatten(F.transform(items, lambda x: joined(simple(t.item, x, path, options)[1]))), _none())))
     else:
-        b = t.builtin
-        if options.check_values and (ok := T.valid_col(b, text)) is not None:
+        value, ok = T.checked_col(t.builtin, text, options.check_values)
+        if known is not None:
+            value, ok = known, None if ok is None else known.isNotNull() | text.isNull()
+        if ok is not None:
             errors.append(_error(~ok, "value", path, _illegal(text, t, path)))
-            value = F.when(ok, T.value_col(b, text))
-        else:
-            value = T.value_col(b, text)
     shown = T.spaced_col(text, t.builtin.space) if t.builtin else text
     for f in t.steps:
         kind = t.builtin.kind if t.builtin and t.variety == "atomic" else "text"
-        for bad, said in FA.value_cols(f, kind, shown, value, is_list=t.variety == "list", date_facets=options.date_facets):
+        for bad, said in FA.value_cols(f, kind, shown, value, is_list=t.variety == "list", date_facets=options.date_facets, as_text=bool(t.builtin) and t.builtin.spark == "string"):
             errors.append(_error(bad, "facet", path, F.concat(said, F.lit(f" at {path}#facet"))))
     return value, errors
 
@@ -99,6 +99,15 @@ def _illegal(text: Column, t: Simple, path: str) -> Column:
     return F.concat(F.lit("illegal value `"), text, F.lit(f"' for type {t.name} at {path}"))
 
 
+def repeated(p: Particle) -> Iterator[Element]:
+    """The elements of a content model that come as arrays."""
+    if isinstance(p.term, Group):
+        for x in p.term.particles:
+            yield from repeated(x)
+    elif p.many:
+        yield p.term
+
+
 class NativeReader:
     """``column(xml)`` gives a struct (data, errors)."""
 
@@ -143,7 +152,7 @@ class NativeReader:
 
     def column(self, xml: Column) -> Column:
         """Struct (data, errors) in one expression. The parse is bound to a lambda, so it happens once; ``result`` on a parsed column is faster."""
-        return F.transform(F.array(self.texts(xml)), lambda r: self.result(xml, r))[0]
+        return F.transform(F.array(F.struct(xml.alias("xml"), self.texts(xml).alias("texts"))), lambda r: self.result(r["xml"], r["texts"]))[0]
 
     def result(self, xml: Column, r: Column) -> Column:
         """Struct (data, errors) from the message and its parsed form."""
@@ -152,27 +161,88 @@ class NativeReader:
         local = F.regexp_extract(xml, r"^\s*(?:<\?[^>]*>\s*|<!--(?s:.*?)-->\s*)*<(?:[\w.\-]+:)?([\w.\-]+)", 1)
         there = xml.isNotNull()
         broken = F.coalesce(there & (r.isNull() | r["_broken"].isNotNull()), F.lit(False))
-        other = F.coalesce(there & ~broken & (local != e.local), F.lit(False))
+        sought = self._doubtful(xml)
+        strange = F.xpath_boolean(xml, F.lit(f"boolean(/*{not_in(e.ns)})"))
+        other = F.coalesce(there & ~broken & ((local != e.local) | sought & strange), F.lit(False))
         value, errors = self._value(e, r[_VALUE] if flat else r, e.path)
         wrong = [
             _error(broken, "xml", e.path, "not well-formed"),
             _error(other, "root", e.path, F.concat(F.lit("data not recognized, found a `"), local, F.lit("'"))),
+            *self._foreign(xml, there & ~broken & ~other & sought),
             *_only(there & ~broken & ~other, errors),
             *self._order(xml, there & ~broken & ~other),
         ]
         every = joined(wrong)
         return F.struct(F.when(there & (F.size(every) == 0), value).alias("data"), every.alias("errors"))
 
+    def _inner(self) -> set[str]:
+        out: set[str] = set()
+
+        def visit(p: Particle) -> None:
+            if isinstance(p.term, Element):
+                out.add(p.term.ns)
+                if isinstance(p.term.type, Complex) and p.term.type.content is not None:
+                    visit(p.term.type.content)
+            for x in p.term.particles if isinstance(p.term, Group) else ():
+                visit(x)
+
+        if isinstance(self.root.type, Complex) and self.root.type.content is not None:
+            visit(self.root.type.content)
+        return out
+
+    def _doubtful(self, xml: Column) -> Column:
+        """Whether prefixes have to be looked up: false where the root declares the only namespace and the tags' prefixes are plain to see."""
+        e, inside = self.root, self._inner()
+        times = lambda what: (F.length(xml) - F.length(F.replace(xml, what, F.lit("")))) / F.length(what)
+        if not e.ns:
+            return F.coalesce(xml.contains("xmlns"), F.lit(False)) | F.lit(bool(inside - {""}))
+        p = F.substring_index(F.substring(xml, 2, 256), ":", 1)
+        mine = times(F.concat(F.lit("<"), p, F.lit(":"))) + times(F.concat(F.lit("</"), p, F.lit(":")))
+        sure = xml.startswith(F.concat(F.lit("<"), p, F.lit(f":{e.local}"))) & xml.contains(F.concat(F.lit(" xmlns:"), p, F.lit(f'="{e.ns}"'))) & (times(F.lit("xmlns")) == 1)
+        if inside <= {""}:
+            sure = sure & (mine <= 2)
+        elif inside == {e.ns}:
+            sure = sure & (mine == times(F.lit("<")))
+        else:
+            return F.lit(True)
+        return ~F.coalesce(sure, F.lit(False))
+
+    def _foreign(self, xml: Column, sought: Column) -> list[Error]:
+        """Elements in other namespaces: the parser goes by local names, so XPath looks at the message itself."""
+        e = self.root
+        if not isinstance(e.type, Complex) or not (found := elsewhere(e.type)):
+            return []
+        bad = F.when(sought, reduce(lambda a, b: a | b, (F.xpath_boolean(xml, F.lit(f"boolean({x})")) for x in found)))
+        name = F.coalesce(*(F.nullif(F.xpath_string(xml, F.lit(f"local-name(({x})[1])")), F.lit("")) for x in found))
+        return [_error(bad, "leftover", e.path, F.concat(F.lit("element `"), name, F.lit(f"' not processed for {e.path}")))]
+
     def _order(self, xml: Column, sound: Column) -> list[Error]:
         """Elements before others that have to come first: arrays by name have lost that, so XPath looks at the message itself."""
         e = self.root
         if not self.options.order_check or not isinstance(e.type, Complex) or not (found := out_of_order(e.type)):
             return []
-        bad = F.when(sound, F.xpath_boolean(xml, F.lit(f"boolean({' | '.join(found)})")))
+        bad = F.when(sound, reduce(lambda a, b: a | b, (F.xpath_boolean(xml, F.lit(f"boolean({x})")) for x in found)))
         return [_error(bad, "order", e.path, f"elements of {e.path} aren't in the order of its sequence")]
 
-    def _value(self, e: Element, c: Column, path: str) -> Value:
-        """Value of an element that is there; ``c`` is its text, or its struct of texts."""
+    def _packed(self, e: Element, c: Column, path: str) -> Column:
+        """Struct (value, errors) of one of several elements. What it repeats itself is bound first, so no level is computed twice."""
+        inner = list(repeated(e.type.content)) if isinstance(e.type, Complex) and e.type.content is not None else []
+
+        def build(bound: dict[int, Column]) -> Column:
+            value, errors = self._value(e, c, path, bound)
+            return F.struct(self._item(e, c, value).alias("value"), joined(errors).alias("errors"))
+
+        if not inner:
+            return build({})
+        each = F.struct(*(self._pairs(x, c, path).alias(f"p{i}") for i, x in enumerate(inner)))
+        return F.transform(F.array(each), lambda s: build({id(x): s[f"p{i}"] for i, x in enumerate(inner)}))[0]
+
+    def _pairs(self, e: Element, c: Column, path: str) -> Column:
+        """(value, errors) of each of the elements ``e`` in ``c``."""
+        return F.transform(c[e.local], lambda x: self._packed(e, x, f"{path}/{e.local}"))
+
+    def _value(self, e: Element, c: Column, path: str, bound: dict[int, Column] | None = None) -> Value:
+        """Value of an element that is there; ``c`` is its text, or its struct of texts, ``bound`` has the pairs of what it repeats."""
         t = e.type
         if isinstance(t, Simple):
             text = F.coalesce(c[_VALUE] if e.nillable else c, F.lit(""))  # an element that is there and empty comes as null
@@ -186,7 +256,7 @@ class NativeReader:
             fields["_"] = value
             errors += wrong
         elif t.content is not None:
-            errors += self._particle(t.content, c, path, fields)
+            errors += self._particle(t.content, c, path, fields, bound or {})
         if t.simple is None:
             message = F.lit(f"element not processed for {path}")
             errors.append(_error(F.size(F.coalesce(c[_ANY], F.array().cast("array<string>"))) > 0, "leftover", path, message))
@@ -198,8 +268,8 @@ class NativeReader:
             value = F.when(~nil, value)
         return value, errors
 
-    def _simple(self, e: Element, t: Simple, text: Column, nil: Column | None, path: str) -> Value:
-        value, errors = simple(t, text, path, self.options)
+    def _simple(self, e: Element, t: Simple, text: Column, nil: Column | None, path: str, known: Column | None = None) -> Value:
+        value, errors = simple(t, text, path, self.options, known)
         if e.default is not None:
             given = self._literal(t, e.default) if self.defaults == "EXTEND" else F.lit(None)
             value = F.when(text == "", given).otherwise(value)
@@ -217,11 +287,11 @@ class NativeReader:
     def _literal(self, t: Simple, text: str) -> Column:
         return F.lit(read_simple(t, text, "", self.options)).cast(self.shape.type(t))
 
-    def _attribute(self, a: Attribute, text: Column, path: str, fields: dict[str, Column]) -> list[Error]:
+    def _attribute(self, a: Attribute, text: Column, path: str, fields: dict[str, Column], known: Column | None = None) -> list[Error]:
         where = f"{path}/@{a.local}"
         if a.use == "prohibited":
             return [_error(text.isNotNull(), "attribute", where, f"attribute `{a.local}' is prohibited at {where}")]
-        value, errors = simple(a.type, text, where, self.options)
+        value, errors = simple(a.type, text, where, self.options, known)
         if a.use == "required":
             errors.append(_error(text.isNull(), "attribute", where, f"attribute `{a.local}' is required at {where}"))
         if a.fixed is not None:
@@ -236,12 +306,12 @@ class NativeReader:
         fields[a.key] = value
         return errors
 
-    def _particle(self, p: Particle, c: Column, path: str, fields: dict[str, Column], optional: bool = False) -> list[Error]:
+    def _particle(self, p: Particle, c: Column, path: str, fields: dict[str, Column], bound: dict[int, Column], optional: bool = False) -> list[Error]:
         if isinstance(p.term, Group):
             g, errors = p.term, []
             loose = optional or p.min == 0 or g.kind == "choice"
             for x in g.particles:
-                errors += self._particle(x, c, path, fields, loose)
+                errors += self._particle(x, c, path, fields, bound, loose)
             if g.kind == "choice":
                 chosen = F.size(F.filter(F.array(*(F.coalesce(F.size(c[x.term.local]) > 0, F.lit(False)) for x in g.particles)), lambda b: b))
                 errors.append(_error(chosen > 1, "leftover", path, f"element not processed for {path}"))
@@ -262,9 +332,11 @@ class NativeReader:
         if p.max is not None and self.options.check_occurs:
             errors.append(_error(count > p.max, "leftover", where, f"element `{e.local}' not processed for {path}"))
         if p.many:
-            fields[e.key] = F.when(count > 0, F.transform(own, lambda x: self._item(e, x, self._value(e, x, where)[0])))
-            wrong = F.flatten(F.transform(own, lambda x: joined(self._value(e, x, where)[1])))
-            errors.append(Error(None, F.coalesce(wrong, _none())))
+            pairs = bound.get(id(e))
+            if pairs is None:
+                pairs = self._pairs(e, c, path)
+            fields[e.key] = F.when(count > 0, F.transform(pairs, lambda q: q["value"]))
+            errors.append(Error(None, F.coalesce(F.flatten(F.transform(pairs, lambda q: q["errors"])), _none())))
             return errors
         first = F.get(own, F.lit(0))
         value, wrong = self._value(e, first, where)

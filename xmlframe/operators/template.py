@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from xmlframe.functions.names import unpack_type
+from xmlframe.operators.reader_python import hook_meets
 from xmlframe.operators.writer_python import Prefixes
 from xmlframe.plans.model import Complex, Element, Group, Options, Particle, Simple, Wildcard
 from xmlframe.sources.xml import escape, escape_attr
@@ -12,11 +13,20 @@ EXAMPLES = {"boolean": "true", "date": "2006-10-06", "dateTime": "2006-10-06T00:
 
 
 class Template:
-    def __init__(self, root: Element, options: Options, comments: str, indent: str) -> None:
-        self.root, self.options, self.comments, self.indent = root, options, comments, indent
+    """Hooks with the action TEMPLATE, or none, may change it: ``replace`` is SKIP (left out), COLLAPSE (an element without what it
+    holds) or a function of (path, element, tree of the element) that gives another tree or None; ``before`` functions of (path,
+    element) leave it out by a false value; ``after`` functions of (path, tree) give the tree to use. At types of a typemap
+    stands who converts them.
+    """
+
+    def __init__(self, root: Element, options: Options, comments: str, indent: str, extends: dict[str, list[str]] | None = None) -> None:
+        self.root, self.options, self.comments, self.indent, self.extends = root, options, comments, indent, extends or {}
+        self.hooks = [h for h in options.hooks if h.action in (None, "TEMPLATE")]
 
     def render(self, output: str):
-        tree = self._element(self.root, 1, 1, ())
+        tree = self._element(self.root, 1, 1, (), self.root.path)
+        if tree is None:
+            raise ValueError(f"a hook leaves out the whole of {self.root.path}")
         if output == "TREE":
             return tree
         if output == "DATA":
@@ -56,10 +66,32 @@ class Template:
             return "is optional"
         return f"occurs {low} <= # <= {'unbounded' if high is None else high} times" if low != high else f"occurs {low} times"
 
-    def _element(self, e: Element, low: int, high: int | None, seen: tuple) -> dict:
+    def _element(self, e: Element, low: int, high: int | None, seen: tuple, path: str) -> dict | None:
+        """The tree of an element as hooks and codecs leave it, or None."""
+        hooks = [h for h in self.hooks if hook_meets(h, e, path, self.extends)]
+        replaced = next((h.replace for h in hooks if h.replace is not None and (callable(h.replace) or h.replace in ("SKIP", "COLLAPSE"))), None)
+        if replaced == "SKIP" or any(not f(path, e) for h in hooks if h.action == "TEMPLATE" for f in h.before):
+            return None
+        codec = self.options.typemap.get(e.type.name)
+        if codec is not None:
+            own = {"kind": "element", "key": e.key, "ns": e.ns, "local": e.local, "occurs": self._occurs(low, high), "many": high is None or high > 1, "notes": []}
+            said = "converted by to_xml() and from_xml() of" if hasattr(codec, "to_xml") else "converted by calling"
+            out = own | {"type": e.type.name, "notes": [f"{said} {getattr(codec, '__name__', type(codec).__name__)}"], "example": "Anything"}
+        else:
+            out = self._plain(e, low, high, seen, path)
+        if replaced == "COLLAPSE":
+            out = {k: v for k, v in out.items() if k not in ("children", "attributes", "value", "members")} | {"notes": [*out["notes"], "content collapsed"], "example": ""}
+        elif callable(replaced) and any(h.action == "TEMPLATE" for h in hooks):
+            out = replaced(path, e, out)
+        for h in hooks:
+            for f in h.after if h.action == "TEMPLATE" and out is not None else ():
+                out = f(path, out)
+        return out
+
+    def _plain(self, e: Element, low: int, high: int | None, seen: tuple, path: str) -> dict:
         out = {"kind": "element", "key": e.key, "ns": e.ns, "local": e.local, "occurs": self._occurs(low, high), "many": high is None or high > 1, "notes": []}
         if e.members:
-            out |= {"struct": f"substitutes {e.local}", "members": [m.key for m in e.members], "children": [self._element(m, 1, 1, seen) for m in e.members[:1]]}
+            out |= {"struct": f"substitutes {e.local}", "members": [m.key for m in e.members], "children": [x for m in e.members[:1] if (x := self._element(m, 1, 1, seen, path))]}
             return out
         for word, value in (("fixed to", e.fixed), ("defaults to", e.default)):
             if value is not None:
@@ -76,24 +108,32 @@ class Template:
             return out | {"example": "Anything"}
         if any(t is s for s in seen):
             return out | {"notes": [*out["notes"], "is recursive"], "children": [], "attributes": []}
-        out["attributes"] = [self._simple(a.type) | {"key": a.key, "ns": a.ns, "local": a.local, "notes": [f"attribute is {a.use}"] if a.use == "required" else []} for a in t.attributes if a.use != "prohibited"]
+        out["attributes"] = [self._attribute(a) for a in t.attributes if a.use != "prohibited"]
+        out["notes"] += [f"attribute {a.local} is prohibited" for a in t.attributes if a.use == "prohibited"]
+        if self.options.permit_href:
+            out["notes"].append("may be an element with href")
         if t.any_attribute:
-            out["notes"].append("any attribute")
+            out["notes"].append(f"any attribute in {_spaces(t.any_attribute)}")
         if t.mixed:
             out["notes"].append("mixed content cannot be processed automatically")
         if t.simple is not None:
             return out | {"value": self._simple(t.simple)}
-        out["children"] = self._particle(t.content, (*seen, t)) if t.content is not None else []
+        out["children"] = self._particle(t.content, (*seen, t), path) if t.content is not None else []
         return out
 
-    def _particle(self, p: Particle, seen: tuple) -> list[dict]:
+    def _attribute(self, a) -> dict:
+        notes = [f"attribute is {a.use}"] * (a.use == "required") + [f"attribute is fixed to '{a.fixed}'"] * (a.fixed is not None) + [f"attribute defaults to '{a.default}'"] * (a.default is not None)
+        own = self._simple(a.type)
+        return own | {"key": a.key, "ns": a.ns, "local": a.local, "notes": notes, "example": a.fixed or a.default or own["example"]}
+
+    def _particle(self, p: Particle, seen: tuple, path: str) -> list[dict]:
         if p.max == 0:
             return []
         if isinstance(p.term, Element):
-            return [self._element(p.term, p.min, p.max, seen)]
+            return [x for x in [self._element(p.term, p.min, p.max, seen, f"{path}/{p.term.local}")] if x]
         if isinstance(p.term, Wildcard):
-            return [{"kind": "any", "occurs": self._occurs(p.min, p.max), "namespaces": p.term.yes or "any"}]
-        inner = [x for q in p.term.particles for x in self._particle(q, seen)]
+            return [{"kind": "any", "occurs": self._occurs(p.min, p.max), "namespaces": _spaces(p.term)}]
+        inner = [x for q in p.term.particles for x in self._particle(q, seen, path)]
         names = ", ".join(_label(q) for q in p.term.particles)
         struct = {"kind": "block", "struct": f"{p.term.kind} of {names}", "occurs": self._occurs(p.min, p.max), "key": p.label, "many": p.many, "children": inner}
         return [struct] if p.many else [{**struct, "children": []}, *inner]
@@ -112,7 +152,7 @@ class Template:
     def _data(self, x: dict, pad: str) -> list[str]:
         out = [f"{pad}# {n}" for n in self._notes(x)]
         if x["kind"] == "any":
-            return [f"{pad}# any element, {x['occurs'] or 'once'}"]
+            return [f"{pad}# any element in {x['namespaces']}, {x['occurs'] or 'once'}"]
         if x["kind"] == "block" and not x["many"]:
             return out
         inner = pad + self.indent
@@ -131,7 +171,7 @@ class Template:
     def _xml(self, x: dict, pad: str) -> list[str]:
         out = [f"{pad}<!-- {n.replace('--', '- -')} -->" for n in self._notes(x)]
         if x["kind"] == "any":
-            return [f"{pad}<!-- any element, {x['occurs'] or 'once'} -->"]
+            return [f"{pad}<!-- any element in {x['namespaces']}, {x['occurs'] or 'once'} -->"]
         if x["kind"] == "block":
             return out + [line for c in x["children"] for line in self._xml(c, pad)]
         if "members" in x:
@@ -144,6 +184,12 @@ class Template:
         return [*out, f"{pad}<{tag}{attrs}>{escape(value)}</{tag}>" if value else f"{pad}<{tag}{attrs}/>"]
 
 
+def _spaces(w: Wildcard) -> str:
+    """The namespaces of a wildcard in words."""
+    yes = "any namespace" if w.yes is None else ", ".join(n or "no namespace" for n in w.yes)
+    return yes + (" but " + ", ".join(n or "no namespace" for n in w.no) if w.no else "")
+
+
 def _label(p: Particle) -> str:
     if isinstance(p.term, Element):
         return p.term.local

@@ -57,7 +57,10 @@ class NativeWriter:
         tag = self.prefixes.tag(e.ns, e.local)
         kind = [F.lit(self._type_of(t))] if self.options.xsi_type_everywhere and t.name and not t.name.startswith("unnamed") else []
         if isinstance(t, Simple):
-            return self._tagged(tag, kind, escaped(self._text(t, value, path)), root)
+            text = self._text(t, value, path)
+            if path in self.options.cdata:
+                return self._tagged(tag, kind, F.concat(F.lit("<![CDATA["), F.replace(text, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>")), root)
+            return self._tagged(tag, kind, escaped(text), root)
         if t.simple is not None:
             attrs = [self._attribute(a, value, path) for a in t.attributes if a.use != "prohibited"]
             return self._tagged(tag, kind + attrs, escaped(self._text(t.simple, value["_"], path)), root)

@@ -10,7 +10,7 @@ from xmlframe.operators.reader_python import NIL, hook_meets
 from xmlframe.operators.values import DataError, read_simple, write_simple
 from xmlframe.plans.model import Attribute, Complex, Element, Group, Options, Particle, Simple, Wildcard
 from xmlframe.plans.shape import ANY, ANY_ATTRIBUTE
-from xmlframe.sources.xml import Node, escape, escape_attr, parse, serialize
+from xmlframe.sources.xml import Node, cdata, escape, escape_attr, parse, serialize
 
 
 class Prefixes:
@@ -118,7 +118,7 @@ class Writer:
             text = write_simple(kind, value, path, self.options, self.prefixes.of)
             if e.fixed is not None and read_simple(kind, text, path, self.options) != read_simple(kind, e.fixed, path, self.options):
                 raise DataError("fixed", path, f"element `{e.local}' has value fixed to `{e.fixed}', got `{text}' at {path}")
-            return _element(tag, extra, escape(text))
+            return _element(tag, extra, cdata(text) if path in self.options.cdata else escape(text))
         return self._complex(kind, tag, extra, value, path)
 
     def _type_attribute(self, name: str) -> str:

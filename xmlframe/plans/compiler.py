@@ -161,7 +161,7 @@ class Compiler:
     def _builtin(self, name: str, local: str) -> Simple | Complex:
         if local == "anyType":
             return Complex(name, any_type=True)
-        b = T.resolve(local, sloppy_integers=self.options.sloppy_integers, sloppy_floats=self.options.sloppy_floats)
+        b = T.resolve(local, sloppy_integers=self.options.sloppy_integers, sloppy_floats=self.options.sloppy_floats, big_numbers=self.options.big_numbers)
         if b.is_list:
             return Simple(name, "list", b, item=self._builtin(pack_type(unpack_type(name)[0], b.items), b.items))
         return Simple(name, builtin=b)

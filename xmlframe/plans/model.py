@@ -119,6 +119,7 @@ class Options:
     use_default_namespace: bool = False
     sloppy_integers: bool = False
     sloppy_floats: bool = False
+    big_numbers: str = "error"  # numbers without bounds that DECIMAL can't hold: a violation, or string: all of them as texts
     any_element: str | Callable = "SKIP_ALL"
     any_attribute: str | Callable = "SKIP_ALL"
     any_type: Callable | None = None
@@ -136,6 +137,8 @@ class Options:
     xsi_type_everywhere: bool = False
     date_facets: str = "lexical"
     nil_mode: str = "flag"  # flag, null, string
+    cdata: tuple[str, ...] | list[str] = ()  # paths of simple elements that are written as CDATA
+    path: str | None = None  # what paths in violations begin with, in place of the root's name
     order_check: bool | str = True  # or python: in document order, with the exact message
 
     def __post_init__(self) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import types as S
 
 from xmlframe.plans.model import Complex, Element, Group, Options, Particle, Simple, Wildcard
@@ -188,26 +190,61 @@ def _distinct(p: Particle) -> bool:
     return len(names) == len(set(names))
 
 
-def out_of_order(t: Complex, path: str = "/*") -> list[str]:
-    """XPath expressions for elements that stand before one that has to come first, in a message and what it holds."""
-    if t.content is None:
-        return []
-    out, before = [], []
-    is_named = lambda names: " or ".join(f"local-name()='{n}'" for n in names)
-    for names in ranks(t.content):
-        if before:
-            out.append(f"{path}/*[{is_named(names)}][following-sibling::*[{is_named(before)}]]")
-        before = before + names
+def _blocks(t: Complex, path: str = "/*") -> Iterator[tuple[str, Particle]]:
+    """(XPath of the elements that hold it, content model) of a type and of all it holds."""
 
-    def inner(p: Particle) -> None:
+    def inner(p: Particle) -> Iterator[tuple[str, Particle]]:
         if isinstance(p.term, Element) and isinstance(p.term.type, Complex):
-            out.extend(out_of_order(p.term.type, f"{path}/*[local-name()='{p.term.local}']"))
+            yield from _blocks(p.term.type, f"{path}/*[local-name()='{p.term.local}']")
         for x in p.term.particles if isinstance(p.term, Group) else ():
-            inner(x)
+            yield from inner(x)
+
+    if t.content is not None:
+        yield path, t.content
+        yield from inner(t.content)
+
+
+def out_of_order(t: Complex) -> list[str]:
+    """XPath expressions for elements that stand right before one that has to come first, in a message and what it holds.
+
+    The engine takes expressions of up to a hundred operators only, so there is one for each block, and ranks are looked up in a text.
+    """
+    out = []
+    for path, content in _blocks(t):
+        found = ranks(content)
+        if len(found) > 1:
+            known = "".join(f" {n}={i}" for i, names in enumerate(found) for n in names) + " "
+            rank = lambda of, known=known: f"number(substring-before(substring-after('{known}',concat(' ',local-name({of}),'=')),' '))"
+            out.append(f"{path}/*[{rank('')}>{rank('following-sibling::*[1]')}]")
+    return out
+
 
-    inner(t.content)
+def elsewhere(t: Complex) -> list[str]:
+    """XPath expressions for elements of a wanted name in another namespace than the wanted one."""
+    out = []
+    for path, content in _blocks(t):
+        by: dict[str, list[str]] = {}
+        for e in _own(content):
+            by.setdefault(e.ns, []).append(e.local)
+        out += [f"{path}/*[contains(' {' '.join(names)} ',concat(' ',local-name(),' '))]{not_in(ns)}" for ns, names in by.items()]
     return out
 
 
+def _own(p: Particle) -> Iterator[Element]:
+    if isinstance(p.term, Element):
+        yield p.term
+    for x in p.term.particles if isinstance(p.term, Group) else ():
+        yield from _own(x)
+
+
+def not_in(ns: str) -> str:
+    """An XPath predicate: the element isn't in the namespace. Up to two prefixes of it are looked up, for the parser knows no namespaces."""
+    if ns:
+        plain = f"not(contains(name(),':')) and namespace::*[name()=''][.='{ns}']"
+        named = (f"starts-with(name(),concat(name(namespace::*[.='{ns}'][name()!=''][{i}]),':'))" for i in (1, 2))
+        return f"[not({' or '.join([plain, *named])})]"
+    return "[contains(name(),':') or namespace::*[name()=''][.!='']]"
+
+
 def uses_qname(t: Simple) -> bool:
     return bool(t.builtin and t.builtin.kind == "qname") or bool(t.item and uses_qname(t.item)) or any(uses_qname(m) for m in t.members)

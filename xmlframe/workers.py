@@ -1,11 +1,11 @@
-"""Where Python workers find this package."""
+"""Where Python workers find this package, and names for working columns."""
 
 from __future__ import annotations
 
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -15,3 +15,15 @@ def ship(spark: SparkSession) -> None:
     known = env.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
