@@ -259,7 +259,7 @@ def checked_col(b: Builtin, text: Column, check: bool) -> tuple[Column, Column |
     # Forms that casts read as the language means them.
     plain = {"integer": r"^[+-]?[0-9]+$", "decimal": r"^[+-]?[0-9]{1,20}(?:\.[0-9]{0,18})?$", "float": r"^[+-]?[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?$"}[b.kind]
     value = F.when(text.rlike(plain), text.try_cast(b.spark))
-    inside = [*([value >= F.lit(b.low)] if b.low is not None and not _held(b, b.low) else []), *([value <= F.lit(b.high)] if b.high is not None and not _held(b, b.high) else [])]
+    inside = [*([value >= F.lit(Decimal(b.low))] if b.low is not None and not _held(b, b.low) else []), *([value <= F.lit(Decimal(b.high))] if b.high is not None and not _held(b, b.high) else [])]
     for c in inside:
         value = F.when(c, value)
     other = value_col(b, text)

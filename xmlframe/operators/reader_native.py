@@ -18,11 +18,15 @@ from xmlframe.functions import facets as FA
 from xmlframe.functions import types as T
 from xmlframe.operators.values import read_simple
 from xmlframe.plans.model import Attribute, Complex, Element, Group, Options, Particle, Simple
-from xmlframe.plans.shape import Shape, elsewhere, not_in, out_of_order
+from xmlframe.plans.shape import Shape, out_of_order, spaces
 
 ERROR = S.StructType([S.StructField("code", S.StringType()), S.StructField("path", S.StringType()), S.StructField("message", S.StringType())])
 _VALUE, _ANY = "_VALUE", "xs_any"
 _READ = {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": _VALUE, "ignoreSurroundingSpaces": "false", "wildcardColName": _ANY, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+#: The name in a start tag, and a declaration of a namespace: prefix, and namespace in either kind of quotes.
+_TAG = r"<([^\s<>/!?][^\s<>/]*)"
+_DECLARED = r"""\sxmlns:?([^\s=]*)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+
 
 class Error(NamedTuple):
     """A possible violation: the condition and what to report, or (without a condition) an array of reports."""
@@ -162,7 +166,7 @@ class NativeReader:
         there = xml.isNotNull()
         broken = F.coalesce(there & (r.isNull() | r["_broken"].isNotNull()), F.lit(False))
         sought = self._doubtful(xml)
-        strange = F.xpath_boolean(xml, F.lit(f"boolean(/*{not_in(e.ns)})"))
+        strange = self._space_of(xml, F.regexp_extract(self._tags(xml), _TAG, 1)) != e.ns
         other = F.coalesce(there & ~broken & ((local != e.local) | sought & strange), F.lit(False))
         value, errors = self._value(e, r[_VALUE] if flat else r, e.path)
         wrong = [
@@ -175,24 +179,10 @@ class NativeReader:
         every = joined(wrong)
         return F.struct(F.when(there & (F.size(every) == 0), value).alias("data"), every.alias("errors"))
 
-    def _inner(self) -> set[str]:
-        out: set[str] = set()
-
-        def visit(p: Particle) -> None:
-            if isinstance(p.term, Element):
-                out.add(p.term.ns)
-                if isinstance(p.term.type, Complex) and p.term.type.content is not None:
-                    visit(p.term.type.content)
-            for x in p.term.particles if isinstance(p.term, Group) else ():
-                visit(x)
-
-        if isinstance(self.root.type, Complex) and self.root.type.content is not None:
-            visit(self.root.type.content)
-        return out
-
     def _doubtful(self, xml: Column) -> Column:
         """Whether prefixes have to be looked up: false where the root declares the only namespace and the tags' prefixes are plain to see."""
-        e, inside = self.root, self._inner()
+        e = self.root
+        inside = set().union(*spaces(e.type).values()) if isinstance(e.type, Complex) else set()
         times = lambda what: (F.length(xml) - F.length(F.replace(xml, what, F.lit("")))) / F.length(what)
         if not e.ns:
             return F.coalesce(xml.contains("xmlns"), F.lit(False)) | F.lit(bool(inside - {""}))
@@ -207,14 +197,40 @@ class NativeReader:
             return F.lit(True)
         return ~F.coalesce(sure, F.lit(False))
 
+    @staticmethod
+    def _tags(xml: Column) -> Column:
+        return F.regexp_replace(xml, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", "")
+
+    def _bindings(self, xml: Column) -> Column:
+        """Distinct (prefix, namespace) of all declarations; the default's prefix is empty."""
+        found = F.regexp_extract_all(self._tags(xml), F.lit(_DECLARED), F.lit(0))
+        part = lambda x, i: F.regexp_extract(x, _DECLARED, i)
+        return F.array_distinct(F.transform(found, lambda x: F.struct(part(x, 1).alias("key"), F.concat(part(x, 2), part(x, 3)).alias("value"))))
+
+    def _space_of(self, xml: Column, name: Column) -> Column:
+        """The namespace of a tag's name; a name of its own for a prefix that nothing declares."""
+        prefix = F.when(name.contains(":"), F.substring_index(name, ":", 1)).otherwise("")
+        own = F.filter(self._bindings(xml), lambda b: b["key"] == prefix)
+        return F.coalesce(F.get(own, F.lit(0))["value"], F.when(prefix == "", "").otherwise("undeclared"))
+
     def _foreign(self, xml: Column, sought: Column) -> list[Error]:
-        """Elements in other namespaces: the parser goes by local names, so XPath looks at the message itself."""
+        """Elements in other namespaces. The parser goes by local names, so declarations and names are looked up in the text itself.
+
+        That tells where each prefix stands for one namespace, and the default is declared at the root, if at all: other messages are refused.
+        """
         e = self.root
-        if not isinstance(e.type, Complex) or not (found := elsewhere(e.type)):
-            return []
-        bad = F.when(sought, reduce(lambda a, b: a | b, (F.xpath_boolean(xml, F.lit(f"boolean({x})")) for x in found)))
-        name = F.coalesce(*(F.nullif(F.xpath_string(xml, F.lit(f"local-name(({x})[1])")), F.lit("")) for x in found))
-        return [_error(bad, "leftover", e.path, F.concat(F.lit("element `"), name, F.lit(f"' not processed for {e.path}")))]
+        bindings, tags = self._bindings(xml), self._tags(xml)
+        twice = F.size(F.array_distinct(F.transform(bindings, lambda b: b["key"]))) < F.size(bindings)
+        late = F.exists(bindings, lambda b: b["key"] == "") & ~F.regexp_extract(tags, r"^\s*<[^>]*>", 0).rlike(r"\sxmlns\s*=")
+        unsure = _error(sought & (twice | late), "namespace", e.path, f"namespaces are declared again inside of {e.path}: read it in document order")
+        if not isinstance(e.type, Complex) or not (wanted := spaces(e.type)):
+            return [unsure]
+        known = F.create_map(*(x for local, own in wanted.items() for x in (F.lit(local), F.array(*map(F.lit, sorted(own))))))
+        local = lambda n: F.substring_index(n, ":", -1)
+        names = F.array_distinct(F.regexp_extract_all(tags, F.lit(_TAG), F.lit(1)))
+        found = F.filter(names, lambda n: ~F.array_contains(F.coalesce(F.try_element_at(known, local(n)), F.array(self._space_of(xml, n))), self._space_of(xml, n)))
+        message = F.concat(F.lit("element `"), local(F.get(found, F.lit(0))), F.lit(f"' not processed for {e.path}"))
+        return [unsure, _error(sought & ~(twice | late) & (F.size(found) > 0), "leftover", e.path, message)]
 
     def _order(self, xml: Column, sound: Column) -> list[Error]:
         """Elements before others that have to come first: arrays by name have lost that, so XPath looks at the message itself."""

@@ -109,7 +109,6 @@ class Template:
         if any(t is s for s in seen):
             return out | {"notes": [*out["notes"], "is recursive"], "children": [], "attributes": []}
         out["attributes"] = [self._attribute(a) for a in t.attributes if a.use != "prohibited"]
-        out["notes"] += [f"attribute {a.local} is prohibited" for a in t.attributes if a.use == "prohibited"]
         if self.options.permit_href:
             out["notes"].append("may be an element with href")
         if t.any_attribute:

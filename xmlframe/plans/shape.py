@@ -219,31 +219,19 @@ def out_of_order(t: Complex) -> list[str]:
     return out
 
 
-def elsewhere(t: Complex) -> list[str]:
-    """XPath expressions for elements of a wanted name in another namespace than the wanted one."""
-    out = []
-    for path, content in _blocks(t):
-        by: dict[str, list[str]] = {}
-        for e in _own(content):
-            by.setdefault(e.ns, []).append(e.local)
-        out += [f"{path}/*[contains(' {' '.join(names)} ',concat(' ',local-name(),' '))]{not_in(ns)}" for ns, names in by.items()]
-    return out
+def spaces(t: Complex) -> dict[str, set[str]]:
+    """The namespaces that an element of a name may have in a message, by local name."""
+    out: dict[str, set[str]] = {}
 
+    def visit(p: Particle) -> None:
+        if isinstance(p.term, Element):
+            out.setdefault(p.term.local, set()).add(p.term.ns)
+        for x in p.term.particles if isinstance(p.term, Group) else ():
+            visit(x)
 
-def _own(p: Particle) -> Iterator[Element]:
-    if isinstance(p.term, Element):
-        yield p.term
-    for x in p.term.particles if isinstance(p.term, Group) else ():
-        yield from _own(x)
-
-
-def not_in(ns: str) -> str:
-    """An XPath predicate: the element isn't in the namespace. Up to two prefixes of it are looked up, for the parser knows no namespaces."""
-    if ns:
-        plain = f"not(contains(name(),':')) and namespace::*[name()=''][.='{ns}']"
-        named = (f"starts-with(name(),concat(name(namespace::*[.='{ns}'][name()!=''][{i}]),':'))" for i in (1, 2))
-        return f"[not({' or '.join([plain, *named])})]"
-    return "[contains(name(),':') or namespace::*[name()=''][.!='']]"
+    for _, content in _blocks(t):
+        visit(content)
+    return out
 
 
 def uses_qname(t: Simple) -> bool:

@@ -510,6 +510,17 @@ for _mode, _status, _level in (
             return read(table(spark, d, "orders"), default_xml(), schema(DEFAULTS), "row", default_values=mode.upper(), **options)
 
 
+_ATTR_MODES = " ".join(f'<attribute name="{n}" type="{t}" default="{v}"/>' for n, t, v in (("size", "int", "9"), ("brand", "string", "none")))
+for _mode, _size, _brand in (("extend", "CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 9 END", "CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'none' END"), ("ignore", "CASE WHEN p_partkey % 3 = 0 THEN p_size END", "CASE WHEN p_partkey % 2 = 0 THEN p_brand END"), ("minimal", "CASE WHEN p_partkey % 3 = 0 AND p_size <> 9 THEN p_size END", "CASE WHEN p_partkey % 2 = 0 THEN p_brand END")):
+    for _tier, _options in (("", {}), ("_python", {"order_check": "python"})):
+        @query(f"rd_attr_default_{_mode}{_tier}", f"SELECT p_partkey, {_size} AS size, {_brand} AS brand FROM part")
+        def rd_attr_default(spark, d, mode=_mode, options=_options):
+            own = schema(record("row", elements("p_partkey:long", "p_name:string"), _ATTR_MODES))
+            given = [F.when(when, F.concat(F.lit(f' {n}="'), esc(c), F.lit('"'))).otherwise("") for n, c, when in (("size", "p_size", F.col("p_partkey") % 3 == 0), ("brand", "p_brand", F.col("p_partkey") % 2 == 0))]
+            xml = F.concat(F.lit(f'<p:row xmlns:p="{NS}"'), *given, F.lit(">"), leaf("p_partkey"), leaf("p_name"), F.lit("</p:row>"))
+            return read(table(spark, d, "part"), xml, own, "row", default_values=mode.upper(), **options).select("p_partkey", "size", "brand")
+
+
 for _tier, _options in (("", {}), ("_native", {"order_check": False})):
     @query(f"rd_fixed{_tier}", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 1 OR o_orderstatus = 'F' THEN 'F' END AS status, o_orderkey % 2 = 0 AND o_orderstatus <> 'F' AS broken FROM orders")
     def rd_fixed(spark, d, options=_options):
@@ -577,6 +588,29 @@ for _form, _prefix in (("qualified", "p:"), ("unqualified", "")):
         return read(table(spark, d, "region"), xml, schema(REGION, f'elementFormDefault="{form}"'), "region")
 
 
+for _tier, _options in (("", {}), ("_python", {"order_check": "python"})):
+    @query(f"rd_wrong_namespace_root{_tier}", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS name, n_nationkey % 3 = 0 AS broken FROM nation")
+    def rd_wrong_namespace_root(spark, d, options=_options):
+        own = schema(record("nation", elements("n_nationkey:int", "n_name:string")))
+        df = table(spark, d, "nation").withColumn("id", F.col("n_nationkey"))
+        ns = F.when(F.col("id") % 3 == 0, "urn:other").otherwise(NS)
+        xml = F.concat(F.lit('<q:nation xmlns:q="'), ns, F.lit('">'), leaf("n_nationkey"), leaf("n_name"), F.lit("</q:nation>"))
+        out = read(df, xml, own, "nation", "PERMISSIVE", ("id",), **options)
+        return out.select("id", F.col("n_name").alias("name"), (F.size("errors") > 0).alias("broken"))
+
+    @query(f"rd_wrong_namespace_child{_tier}", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN o_orderstatus END AS status, o_orderkey % 4 >= 2 AS broken FROM orders")
+    def rd_wrong_namespace_child(spark, d, options=_options):
+        own = schema(record("order", elements("o_orderkey:long", "o_orderstatus:string")), 'elementFormDefault="qualified"')
+        df = table(spark, d, "orders").withColumn("id", F.col("o_orderkey"))
+        k = F.col("id") % 4  # by prefix, by default, unqualified, in another namespace
+        head = F.when(k == 1, F.lit(f'<order xmlns="{NS}">')).when(k == 2, F.lit(f'<q:order xmlns:q="{NS}">')).otherwise(F.lit(f'<q:order xmlns:q="{NS}" xmlns:o="urn:o">'))
+        p, r = F.when(k == 0, "q:").when(k == 3, "o:").otherwise(""), F.when(k == 1, "").otherwise("q:")
+        part = lambda name: F.concat(F.lit("<"), p, F.lit(f"{name}>"), esc(name), F.lit("</"), p, F.lit(f"{name}>"))
+        xml = F.concat(head, part("o_orderkey"), part("o_orderstatus"), F.lit("</"), r, F.lit("order>"))
+        out = read(df, xml, own, "order", "PERMISSIVE", ("id",), **options)
+        return out.select("id", F.col("o_orderstatus").alias("status"), (F.size("errors") > 0).alias("broken"))
+
+
 def _upper(node, path, kind):
     node.children = [c.upper() if isinstance(c, str) else c for c in node.children]
     return node
@@ -680,6 +714,28 @@ typed("ty_double", "double", "events", "event_id", lambda: F.when(F.col("event_i
 typed("ty_boolean", "boolean", "events", "event_id", lambda: F.element_at(F.array(*map(F.lit, ("true", "false", "1", "0", "yes"))), (F.col("event_id") % 5 + 1).cast("int")), _same, "t IN ('true', '1')", "t <> 'yes'", "['true', 'false', '1', '0', 'yes'][event_id % 5 + 1]")
 typed("ty_hex", "hexBinary", "documents", "doc_id", lambda: F.hex(F.encode("source", "UTF-8")), lambda c: F.hex(c), "t", "true", "hex(source)")
 typed("ty_base64", "base64Binary", "documents", "doc_id", lambda: F.base64(F.encode("source", "UTF-8")), lambda c: F.decode(c, "UTF-8"), "decode(from_base64(t))", "true", "base64(encode(source))")
+# Numbers that DECIMAL holds and numbers that it doesn't: an error each, or all of them as texts.
+for _tier, _options in (("", {}), ("_python", {"hooks": [Hook(before=[lambda node, path, kind: node], type="none")]})):
+    for _kind, _made, _made_sql in (
+        ("integer", lambda: F.concat((F.col("l_orderkey") + 1).cast("string"), F.repeat(F.lit("7"), F.col("l_linenumber") * 8)), "CAST(l_orderkey + 1 AS VARCHAR) || repeat('7', l_linenumber * 8)"),
+        ("decimal", lambda: F.concat(F.col("l_linenumber").cast("string"), F.repeat(F.lit("3"), F.col("l_linenumber") * 4), F.lit("."), F.repeat(F.lit("5"), (F.col("l_partkey") % 25).cast("int")), F.lit("1")), "CAST(l_linenumber AS VARCHAR) || repeat('3', l_linenumber * 4) || '.' || repeat('5', l_partkey % 25) || '1'"),
+    ):
+        _fits = "length(t) <= 38" if _kind == "integer" else "strpos(t, '.') <= 21 AND length(t) - strpos(t, '.') <= 18"
+
+        @query(f"ty_{_kind}_overflow{_tier}", f"WITH x AS (SELECT l_orderkey, l_linenumber, {_made_sql} AS t FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN {_fits} THEN t END AS v, CASE WHEN {_fits} THEN 0 ELSE 1 END AS errors FROM x")
+        def overflow(spark, d, kind=_kind, made=_made, options=_options):
+            own = schema(f'<element name="v" type="{kind}"/>')
+            out = read(table(spark, d, "lineitem"), root("v", made()), own, "v", "PERMISSIVE", ("l_orderkey", "l_linenumber"), **options)
+            shown = F.regexp_replace(F.col("value").cast("string"), r"(\..*?[1-9])0+$", "$1")
+            return out.select("l_orderkey", "l_linenumber", shown.alias("v"), F.size("errors").alias("errors"))
+
+        @query(f"ty_{_kind}_text{_tier}", f"WITH x AS (SELECT l_orderkey, l_linenumber, {_made_sql} AS t FROM lineitem) SELECT l_orderkey, l_linenumber, t AS v FROM x")
+        def as_text(spark, d, kind=_kind, made=_made, options=_options):
+            own = schema(f'<element name="v" type="{kind}"/>')
+            out = read(table(spark, d, "lineitem"), root("v", made()), own, "v", keep=("l_orderkey", "l_linenumber"), big_numbers="string", **options)
+            return out.select("l_orderkey", "l_linenumber", F.col("value").alias("v"))
+
+
 _D = (lambda: F.date_format("o_orderdate", "yyyy-MM-dd"), "strftime(o_orderdate, '%Y-%m-%d')")
 for _kind, _py, _sql, _re in (
     ("date", _D[0], _D[1], r"-?[0-9]{4,}-[0-9]{2}-[0-9]{2}"),
@@ -785,6 +841,42 @@ for _tier in ("", "_python"):
     ORACLES["wr_repeated_block" + _tier] += " WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"
 
 
+write("wr_fixed", _sql_row("row", _sql_leaf("id", "p_partkey"), "CASE WHEN p_size > 25 THEN '<unit>kg</unit>' ELSE '' END", attrs=" || CASE WHEN p_size % 2 = 0 THEN ' rev=\"4\"' ELSE '' END"), record("row", elements("id:long") + '<element name="unit" type="string" fixed="kg" minOccurs="0"/>', '<attribute name="rev" type="int" fixed="4"/>'), "row", "part", lambda: F.struct(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, "kg").alias("unit"), F.when(F.col("p_size") % 2 == 0, F.lit(4)).alias("rev")))
+write("wr_xsi_everywhere", f"'<p:part {HEAD} xmlns:x0=\"{XSD}\" {_XSI}><p_partkey xsi:type=\"x0:long\">' || p_partkey || '</p_partkey><p_name xsi:type=\"x0:string\">' || p_name || '</p_name></p:part>'", record("part", elements("p_partkey:long", "p_name:string")), "part", "part", lambda: F.struct("p_partkey", "p_name"), xsi_type_everywhere=True)
+write("wr_epoch", _sql_row("row", _sql_leaf("at", "strftime(make_timestamp(event_id * 86413 * 1000000), '%Y-%m-%dT%H:%M:%SZ')"), _sql_leaf("exact", "strftime(make_timestamp(event_id * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 2 = 0 THEN '.25Z' ELSE 'Z' END")), record("row", elements("at:dateTime", "exact:dateTime")), "row", "events", lambda: F.struct((F.col("event_id") * 86413).alias("at"), F.concat(F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, ".25").otherwise("")).alias("exact")))
+write("wr_cdata", _sql_row("row", _sql_leaf("note", "'<![CDATA[<' || p_name || ' & ]]]]><![CDATA[>]]>'"), _sql_leaf("plain", "'&lt;' || p_name")), record("row", elements("note:string", "plain:string")), "row", "part", lambda: F.struct(F.concat(F.lit("<"), "p_name", F.lit(" & ]]>")).alias("note"), F.concat(F.lit("<"), "p_name").alias("plain")), cdata=[f"{{{NS}}}row/note"])
+
+
+def _failing(kind: str) -> tuple[str, Callable[[], Column]]:
+    """(schema of an element, data that it doesn't take)."""
+    size = F.col("p_size")
+    return {
+        "missing": (record("row", elements("a:int", "b:int")), lambda: F.struct(size.alias("a"), F.lit(None).cast("int").alias("b"))),
+        "fixed": (record("row", '<element name="a" type="int" fixed="99"/>'), lambda: F.struct(size.alias("a"))),
+        "fixed_attribute": (record("row", "", '<attribute name="a" type="int" fixed="99"/>'), lambda: F.struct(size.alias("a"))),
+        "required_attribute": (record("row", "", '<attribute name="a" type="int" use="required"/>'), lambda: F.struct(F.lit(None).cast("int").alias("a"))),
+        "facet": (record("row", '<element name="a"><simpleType><restriction base="int"><minInclusive value="99"/></restriction></simpleType></element>'), lambda: F.struct(size.alias("a"))),
+        "too_many": (record("row", '<element name="a" type="int" maxOccurs="2"/>'), lambda: F.struct(F.array(size, size, size).alias("a"))),
+    }[kind]
+
+
+@query("wr_errors", "SELECT * FROM (VALUES ('facet', true), ('fixed', true), ('fixed_attribute', true), ('missing', true), ('required_attribute', true), ('too_many', true), ('none', false)) AS k(kind, refused) CROSS JOIN (VALUES ('native'), ('python')) AS t(tier)")
+def wr_errors(spark, d):
+    """One part each, written with data that the schema refuses and with data that it takes."""
+    one = table(spark, d, "part").where("p_size < 99").orderBy("p_partkey").limit(1)
+    out = []
+    for kind in ("missing", "fixed", "fixed_attribute", "required_attribute", "facet", "too_many", "none"):
+        body, data = (record("row", elements("a:int")), lambda: F.struct(F.col("p_size").alias("a"))) if kind == "none" else _failing(kind)
+        for tier in ("native", "python"):
+            try:
+                one.select(schema(body).writer(f"{{{NS}}}row").column(data(), python=tier == "python")).collect()
+            except Exception as e:  # Spark's or the worker's
+                out.append((kind, tier, any(w in str(e) for w in ("required", "fixed", "too small", "too many"))))
+            else:
+                out.append((kind, tier, False))
+    return spark.createDataFrame(out, "kind string, tier string, refused boolean")
+
+
 # --- sinks, utilities, catalog ---------------------------------------------------------------------------------------
 
 
@@ -853,16 +945,56 @@ def cat_extends(spark, d):
     return spark.createDataFrame([(a, b, own.does_extend(full(a), full(b))) for a, b in pairs], "type string, base string, extends boolean")
 
 
-for _output in ("DATA", "XML", "TREE"):
-    @query(f"tp_{_output.lower()}")
-    def tp(spark, d, output=_output):
-        return spark.createDataFrame([(str(schema(SHAPES).template(output, f"{{{NS}}}box")),)], "text string")
+TEMPLATE_OF = SIZES + record("crate", elements("label:string", "weight:decimal?", "xs:s:sizes*") + '<any namespace="##other" minOccurs="0"/>', '<attribute name="code" type="int" use="required"/><attribute name="old" type="int" use="prohibited"/>')
+#: What the templates of a crate have to be, line by line.
+TEMPLATES = {
+    "data": (f"# is a unnamed {{{NS}}}crate", "'crate': {", "  'code': '42',  # {XSD}int, attribute is required", "  # is a {XSD}string", "  'label': 'example',", "  # is a {XSD}decimal", "  # is optional", "  'weight': '3.1415',", "  # is a list of {XSD}int", "  # occurs 0 <= # <= unbounded times", "  'xs': ['42 42', ],", "  # any element in any namespace but urn:shop, is optional", "},"),
+    "xml": (f'<x0:crate xmlns:x0="{NS}" code="42">', "  <label>example</label>", "  <weight>3.1415</weight>", "  <xs>42 42</xs>", "  <!-- any element in any namespace but urn:shop, is optional -->", "</x0:crate>"),
+    "hooked": ("'crate': {", "  'code': '42',  # {XSD}int, attribute is required", "  # content collapsed", "  'weight': '',", "  # made up", "  'xs': ['1 2 3', ],", "  # any element in any namespace but urn:shop, is optional", "},"),
+}
+
+
+def _lines(lines: tuple[str, ...]) -> str:
+    lines = tuple(x.replace("{XSD}", f"{{{XSD}}}") for x in lines)
+    quoted = (f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(lines))
+    return f"SELECT CAST(line AS INTEGER) AS line, text FROM (VALUES {', '.join(quoted)}) AS t(line, text)"
+
+
+def _template(spark: SparkSession, output: str, comments: str = "NONE", **options) -> DataFrame:
+    text = schema(TEMPLATE_OF).template(output, f"{{{NS}}}crate", comments=comments, **options)
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "line int, text string")
+
+
+@query("tp_data", _lines(TEMPLATES["data"]))
+def tp_data(spark, d):
+    return _template(spark, "DATA", "type,occur")
+
+
+@query("tp_xml", _lines(TEMPLATES["xml"]))
+def tp_xml(spark, d):
+    return _template(spark, "XML")
+
+
+@query("tp_hooked", _lines(TEMPLATES["hooked"]))
+def tp_hooked(spark, d):
+    at = f"{{{NS}}}crate"
+    made = Hook(replace=lambda path, e, tree: tree | {"example": "1 2 3", "notes": ["made up"]}, path=f"{at}/xs", action="TEMPLATE")
+    return _template(spark, "DATA", "NOTES", hooks=[Hook(replace="SKIP", path=f"{at}/label"), Hook(replace="COLLAPSE", path=f"{at}/weight", action="TEMPLATE"), made])
+
+
+@query("tp_tree", "SELECT * FROM (VALUES (0, 'crate', '', 'element'), (1, 'label', '', 'element'), (2, 'weight', 'is optional', 'element'), (3, 'xs', 'occurs 0 <= # <= unbounded times', 'element'), (4, '', 'is optional', 'any')) AS t(n, name, occurs, kind)")
+def tp_tree(spark, d):
+    tree = schema(TEMPLATE_OF).template("TREE", f"{{{NS}}}crate")
+    rows = [(x.get("key", ""), x["occurs"], x["kind"]) for x in (tree, *(c for c in tree["children"] if c["kind"] != "block"))]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, name string, occurs string, kind string")
 
 
-@query("pg_scan_html", "SELECT page_id AS id, true AS broken FROM pages")
+@query("pg_scan_html", f"SELECT page_id AS id, page_id % 2 = 0 AS broken FROM pages")
 def pg_scan_html(spark, d):
+    """Raw pages are refused; every other one is put into a message as escaped text, and read."""
     own = schema(record("html", elements("x:string")))
-    df = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("xml"))
+    page = F.regexp_replace(F.coalesce("html", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    df = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 2 == 0, F.coalesce("html", F.lit(""))).otherwise(root("html", tag("x", esc(page)))).alias("xml"))
     return own.reader(f"{{{NS}}}html").frame(df, "xml", "PERMISSIVE", ("id",)).select("id", (F.size("errors") > 0).alias("broken"))
 
 
