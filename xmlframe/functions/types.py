@@ -282,7 +282,7 @@ def value_col(b: Builtin, text: Column) -> Column:
     if b.spark == "string" and b.kind in ("integer", "decimal"):
         return t
     if b.kind == "boolean":
-        return F.lower(F.trim(t)).isin("true", "1")
+        return F.lower(F.trim(F.translate(t, "\t\n\x0b\f\r", "     "))).isin("true", "1")
     if b.kind in ("integer", "decimal"):
         return t.try_cast(b.spark)
     if b.kind == "float":
@@ -329,7 +329,7 @@ def compare_col(text: Column, bound: str) -> Column:
     negative, whole, part = _parts(text)
     b = Decimal(bound)
     low = b.is_signed() and b != 0
-    b_whole, _, b_part = format(abs(b), "f").partition(".")
+    b_whole, _, b_part = format(b.copy_abs(), "f").partition(".")
     b_whole, b_part = b_whole.lstrip("0"), b_part.rstrip("0")
     size = F.length(whole)
     more = (size > len(b_whole)) | (size == len(b_whole)) & ((whole > b_whole) | (whole == b_whole) & (part > b_part))
