@@ -76,6 +76,7 @@ class _Lines(HTMLParser):
         if tag not in IN_HEAD:
             self._close({"head"})
         if tag in BLOCKS:
+            self._close({"button", "select"})  # they hold no blocks: their end tags are missing
             self._cut()
         elif tag == "br":
             self.parts.append(" ")
