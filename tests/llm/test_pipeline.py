@@ -1,5 +1,7 @@
+import re
+
 import corpus_pipeline
-from xmlframe.llm import packing, quality, simhash
+from xmlframe.llm import packing, quality
 from xmlframe.llm.queries import vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -15,17 +17,19 @@ def test_stages_against_plain_python(spark):
     want = {i for i, t in texts.items() if model.tails([model.score(t)])[0, 1] >= 0.5}
     assert {r.doc_id for r in good.collect()} == want and good.columns == list(corpus_pipeline.COLUMNS)
     single = corpus_pipeline.drop_copies(spark, good, SF)
-    fps, kept = {}, set()
+    # The stage's contract by brute force: five-word shingles, similarity of 0.8 or more, the first of each group stays.
+    sets = {}
     for i in sorted(want):
-        fps[i] = simhash.fingerprint(texts[i], 5)
-    todo = set(want)
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (texts[i] or "").encode().lower())
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    linked = lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    kept, todo = set(), set(want)
     while todo:
         first = min(todo)
         kept.add(first)
         group = [first]
         for a in group:
-            near = {b for b in todo if b not in group and (fps[a] ^ fps[b]).bit_count() <= 2}
-            group += sorted(near)
+            group += sorted(b for b in todo if b not in group and linked(a, b))
         todo -= set(group)
     assert {r.doc_id for r in single.collect()} == kept
     mixed = corpus_pipeline.mix_sources(spark, single, SF)

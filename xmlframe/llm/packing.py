@@ -215,7 +215,7 @@ def _last_sequences(total: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(tokens: DataFrame, *, depths: tuple[int, int] = (4, 3), parts: int | None = None, part_rows: int = 1 << 14, most_parts: int = 1 << 14, seed: int = 11) -> DataFrame:
+def pack(tokens: DataFrame, *, depths: tuple[int, int] = (4, 3), parts: int | None = None, part_rows: int = 1 << 11, most_parts: int = 1 << 14, seed: int = 11) -> DataFrame:
     """Pieces of all documents of ``tokens`` (written rows as ``tokenized`` gives them, whose ids may be left out).
 
     Gives row_id, start, length, crc (null if ``tokens`` has no crcs), n, sequence_id, offset: each id lies in one piece, pieces of a
