@@ -6,6 +6,7 @@ that a later stage needs.
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
 import tempfile
@@ -37,7 +38,7 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="xmlframe-")
-        _file_system(spark, named).deleteOnExit(_hadoop_path(spark, named))
+        _until_the_end(spark, named)
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -54,6 +55,24 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/xmlframe-{tag}-{uuid.uuid4().hex}"
 
 
+_left: dict[str, SparkSession] = {}
+
+
+def _sweep() -> None:
+    """Delete what this application wrote to the shared folder and has not deleted yet."""
+    for path, spark in _left.items():
+        try:
+            _file_system(spark, path).delete(_hadoop_path(spark, path), True)
+        except Exception:  # the JVM has gone before: nothing can be done
+            return
+
+
+def _until_the_end(spark: SparkSession, path: str) -> None:
+    if not _left:
+        atexit.register(_sweep)  # after the gateway's own, so it runs before that one
+    _left[path] = spark
+
+
 def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage is cut, nothing is computed twice.
 
@@ -61,7 +80,7 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    _file_system(spark, path).deleteOnExit(_hadoop_path(spark, path))
+    _until_the_end(spark, path)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
@@ -72,7 +91,7 @@ def put(spark: SparkSession, data: bytes, tag: str) -> str:
     """A file of these bytes in the shared folder; gives its path."""
     path = fresh_path(spark, tag)
     fs = _file_system(spark, path)
-    fs.deleteOnExit(_hadoop_path(spark, path))
+    _until_the_end(spark, path)
     stream = fs.create(_hadoop_path(spark, path))
     stream.write(bytearray(data))
     stream.close()
@@ -83,6 +102,7 @@ def forget(df: DataFrame) -> None:
     """Delete the folder of a written table that nothing reads any more."""
     path = df._written_to
     _file_system(df.sparkSession, path).delete(_hadoop_path(df.sparkSession, path), True)
+    _left.pop(path, None)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
