@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import fields as fields_of
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,14 +69,16 @@ class CompiledReader:
     def __init__(self, root: Element, options: Options, extends: dict[str, list[str]], shape: S.DataType | None = None) -> None:
         self.element, self.options, self.extends = root, options, extends
         self.python = Reader(root, options, extends)
-        self.why = self._why()
+        self.why = self._why(options)
+        #: Plain messages are in order: only the others need a walk in document order.
+        self.mostly_native = self.why is not None and options.order_check == "python" and self._why(replace(options, order_check=True)) is None
         metas = self._metas() if isinstance(root, Element) else {}
         self.shape = shape or (Shape(options, metas).root(root) if isinstance(root, Element) else Shape(options).type(root.type))
 
     native = property(lambda self: self.why is None)
 
-    def _why(self) -> str | None:
-        o, e = self.options, self.element
+    def _why(self, o: Options) -> str | None:
+        e = self.element
         if not isinstance(e, Element):
             return "attribute"
         if o.hooks or o.typemap or o.permit_href or o.any_type:
@@ -159,7 +162,7 @@ class CompiledReader:
         """
         ship(df.sparkSession)
         read, data_col = fresh(df, "_read", "_data")
-        own = self._native_frame(df, xml, read) if self.native else df.withColumn(read, self.column(F.col(xml)))
+        own = self._native_frame(df, xml, read) if self.native or self.mostly_native else df.withColumn(read, self.column(F.col(xml)))
         # Filters on what is read stop at a generator of one row, else Catalyst would read messages a second time below them; others pass.
         own = own.select(*keep, F.explode(F.array(read)).alias(read))
         if mode == "DROPMALFORMED":
@@ -191,6 +194,8 @@ class CompiledReader:
             fast = FastReader(self.element, self.options)
             is_plain = fast.plain(F.col(whole), F.col(skeleton))
         except NotPlain:
+            if self.mostly_native:
+                return df.withColumn(out, self.column(message))
             own = df.withColumn(texts, native.texts(message))
             return own.withColumn(out, native.result(message, F.col(texts)))
         own = df.withColumn(whole, fast.whole(message)).withColumn(skeleton, fast.skeleton(F.col(whole))).withColumn(plain, is_plain)
@@ -209,7 +214,8 @@ class CompiledReader:
         fast.values_of = {k: F.col(v) for v, (k, *_) in zip(values, leaves)}
         data, errors = fast.values(F.col(whole), bound)
         own = own.withColumn(value, data).withColumn(wrong, F.when(F.col(plain), errors))
-        own = own.withColumn(slow, F.when(~F.col(plain), native.column(message)))
+        rest = F.when(~F.col(plain), message)
+        own = own.withColumn(slow, self.column(rest) if self.mostly_native else F.when(~F.col(plain), native.column(message)))
         read = F.struct(F.when(F.size(wrong) == 0, F.col(value)).cast(self.shape).alias("data"), F.col(wrong).alias("errors"))
         return own.withColumn(out, F.when(F.col(plain), read).otherwise(F.col(slow)))
 
