@@ -51,10 +51,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: the pieces of all documents and their places in sequences of at most 4096 tokens."""
-    pieces = packing.pack_documents(docs, vocabulary())
+    pieces = packing.pack_documents(docs, vocabulary(), cache_words=CACHE_WORDS)
     return pieces.select(F.col("row_id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
 
 
+#: The workers and heaps that the packing meets are grown by the stages before: it keeps fewer words than alone.
+CACHE_WORDS = 100_000
 STAGES = [("quality", keep_good), ("near_duplicates", drop_copies), ("mixture", mix_sources), ("packing", pack_sequences)]
 
 #: A trained model, fingerprint components and a tokenizer: SQL expresses none of these stages.

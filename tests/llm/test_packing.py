@@ -20,6 +20,18 @@ def test_cached_words_give_the_library_ids():
     assert own.of(None) == b""
 
 
+def test_one_bounded_encoder_a_worker():
+    from xmlframe.llm import tokens
+
+    own = tokens.ids_of(PATH, 50)
+    whole = Ids(PATH)
+    for i in range(40):
+        text = " ".join(f"w{chr(97 + i % 26)}x{chr(97 + j % 26)}{'y' * (j % 9)}," for j in range(i, i + 30))
+        assert own.of(text) == whole.of(text)
+    assert all(len(x) <= 50 and len(x.old) <= 50 for x in (own.runs, own.words))
+    assert tokens.ids_of(PATH, 50) is own and tokens.ids_of(PATH) is not own and len(tokens._loaded) == 1
+
+
 def test_nnls_against_random_problems():
     rng = np.random.default_rng(0)
     for _ in range(20):

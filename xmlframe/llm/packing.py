@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from xmlframe.llm.common import ship, written
-from xmlframe.llm.tokens import ids_of
+from xmlframe.llm.common import ship, tidy, written
+from xmlframe.llm.tokens import CACHE_WORDS, ids_of
 
 WINDOW, UNIT = 4096, 256
 UNITS = WINDOW // UNIT
@@ -162,11 +162,12 @@ def plan(histogram: dict[int, int], window: int, depth: int) -> Level:
     return Level(window, runs, dict(used), windows, base, before, at)
 
 
-def tokenized(df: DataFrame, vocabulary: str, *, row_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+def tokenized(df: DataFrame, vocabulary: str, *, row_id: str = "doc_id", text: str = "text", keep_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(row_id, n, crcs[, ids]): ids with the end id counted, and the CRC-32 of every piece that packing may cut.
 
     ``crcs`` are those of the whole windows, the head, the tail, the head's and the tail's powers of two. ``vocabulary`` is the
-    path of the vocabulary file on every machine. A null text has the end id only.
+    path of the vocabulary file on every machine. A null text has the end id only. ``cache_words`` trades memory of the workers
+    for time, the result is the same.
     """
     ship(df.sparkSession)
     fields = [("row_id", pa.int64()), ("n", pa.int64()), ("crcs", pa.list_(pa.int64())), *[("ids", pa.list_(pa.int32()))] * keep_ids]
@@ -174,7 +175,8 @@ def tokenized(df: DataFrame, vocabulary: str, *, row_id: str = "doc_id", text: s
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ids_of(vocabulary)
+        tidy()
+        encoder = ids_of(vocabulary, cache_words)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -306,6 +308,6 @@ def sequences(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
     return own.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"])).alias("ids"))
 
 
-def pack_documents(df: DataFrame, vocabulary: str, *, row_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def pack_documents(df: DataFrame, vocabulary: str, *, row_id: str = "doc_id", text: str = "text", cache_words: int = CACHE_WORDS, **options) -> DataFrame:
     """Tokenize and pack all rows of ``df``; see ``pack``. The narrow token table is written once to the shared folder."""
-    return pack(written(tokenized(df, vocabulary, row_id=row_id, text=text), "tokens"), **options)
+    return pack(written(tokenized(df, vocabulary, row_id=row_id, text=text, cache_words=cache_words), "tokens"), **options)

@@ -16,7 +16,7 @@ import numpy as np
 
 _ODD = re.compile("[\x1c-\x1f]")
 _BEHIND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe, which can open a pre-token of its own
-#: Words a worker keeps in each cache: two generations of this many, some 130 bytes each.
+#: Words a worker keeps in each cache: two generations of this many, some 170 bytes each.
 CACHE_WORDS = 400_000
 
 
@@ -79,11 +79,12 @@ class Ids:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-_loaded: dict[str, Ids] = {}
+_loaded: dict[tuple[str, int], Ids] = {}
 
 
-def ids_of(path: str) -> Ids:
-    """The encoder of a vocabulary file, one in each Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Ids(path)
-    return _loaded[path]
+def ids_of(path: str, words: int = CACHE_WORDS) -> Ids:
+    """The encoder of a vocabulary file, one in each Python worker: another one takes the place of the last."""
+    if (path, words) not in _loaded:
+        _loaded.clear()
+        _loaded[path, words] = Ids(path, words)
+    return _loaded[path, words]
