@@ -160,3 +160,34 @@ def test_shards_against_plain_python(spark):
         want[(i if there else None, k, at * 7 // n)] += 1
     got = sharding.stratified_shards(df, 7, ties=["text"], slice_rows=100).collect()
     assert Counter((r.doc_id, "n" if r.source is None else "v" + r.source, r.shard) for r in got) == want
+
+
+def _order_by_plain_edf(blocks, weights):
+    """All blocks slot by slot, every source by itself: the fluid time recomputed from all sources, the earliest deadline first."""
+    w = {k: Fraction(x) for k, x in weights.items()}
+    t = lambda v: sum(min(v * w[k], blocks[k]) for k in w)
+    done, slots = Counter(), {k: [] for k in w}
+    for at in range(sum(blocks.values())):
+        open_ = [k for k in w if done[k] < blocks[k] and t(done[k] / w[k]).__floor__() <= at]
+        k = min(open_, key=lambda k: (t((done[k] + 1) / w[k]).__ceil__(), min(x for x in w if (blocks[x], w[x]) == (blocks[k], w[k])), k))
+        done[k] += 1
+        slots[k].append(at)
+    return slots
+
+
+def test_classes_of_alike_sources_against_plain_edf():
+    sizes = {"a0": 40, "a1": 7, "a2": 7, "a3": 7, "b0": 3, "b1": 3, "b2": 1, **{f"c{i}": 1 for i in range(20)}}
+    for weights in (sizes, {k: n**0.5 for k, n in sizes.items()}):
+        assert {k: at.tolist() for k, at in mixing.placed(sizes, weights).items()} == _order_by_plain_edf(sizes, weights)
+
+
+def test_blocks_and_sources_do_not_depend_on_the_size(spark):
+    """Of more than 65,536 sources each keeps blocks of its own, of one source's 16 rows; none is mixed with another."""
+    df = spark.range(70_000 * 2 + 4000).selectExpr("id doc_id", "cast(if(id < 140000, id % 70000, -1) as string) source")
+    out = mixing.mix(df).groupBy("mix_slot").agg(F.countDistinct("source").alias("sources"), F.count("*").alias("n"), F.max("source").alias("source"))
+    got = out.selectExpr("count(*)", "max(sources)", "max(n)", "count_if(source = '-1')").first()
+    assert tuple(got) == (70_000 + 250, 1, 16, 250)
+    own = mixing.mix(df, cycle=7).where("source = '-1'").select("mix_slot").distinct().orderBy("mix_slot").collect()
+    # Weights are 4000 ** 0.5 for the large source and 2 ** 0.5 for each other.
+    weights = {"-1": 4000**0.5, **{str(i): 2**0.5 for i in range(70_000)}}
+    assert [r.mix_slot for r in own] == mixing.placed({k: 250 if k == "-1" else 1 for k in weights}, weights)["-1"].tolist()
