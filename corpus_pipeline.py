@@ -50,8 +50,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: the pieces of all documents and their places in sequences of at most 4096 tokens."""
-    pieces = packing.pack_documents(docs, vocabulary(), cache_words=CACHE_WORDS)
+    """Packing: the pieces of all documents and their places in sequences of at most 4096 tokens, which follow the mixture.
+
+    Each run of 4,096 documents of the mixture is packed by itself and before the next, sequences of a run by their earliest piece.
+    """
+    pieces = packing.pack_documents(docs, vocabulary(), cache_words=CACHE_WORDS, in_order=True)
     return pieces.select(F.col("row_id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
 
 

@@ -100,3 +100,23 @@ def test_equal_rows_without_ids(spark):
     out = packing.pack_documents(df, PATH, part_rows=256).collect()
     places = {(r.sequence_id, r.offset + i) for r in out for i in range(r.length)}
     assert len(places) == sum(r.length for r in out) == 4000 * out[0].n
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_sequences_in_the_order_of_the_rows(spark, files):
+    rng = np.random.default_rng(3)
+    texts = {i: " ".join(rng.choice(["alpha", "beta,", "***", "Ω"], n)) for i, n in enumerate([0, 5000, *rng.integers(1, 700, 300)])}
+    order = rng.permutation(list(texts)).tolist()
+    df = spark.createDataFrame([(at, i, texts[i]) for at, i in enumerate(order)], "place long, doc_id long, text string")
+    df = df.repartitionByRange(files, "place").sortWithinPartitions("place")
+    plain = Tokenizer.from_file(PATH)
+    ids = {i: np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in texts.items()}
+    pieces = packing.pack_documents(df, PATH, in_order=True, run_rows=64).collect()
+    at, padding = _check(pieces, ids)
+    assert padding == 0 and dict(at) == {i: len(x) for i, x in ids.items()}
+    place, first, runs = {i: at for at, i in enumerate(order)}, {}, defaultdict(set)
+    for r in pieces:
+        first[r.sequence_id] = min(first.get(r.sequence_id, len(order)), place[r.row_id])
+        runs[r.sequence_id].add(place[r.row_id] // 64)
+    assert sorted(first) == list(range(len(first))) and all(len(x) == 1 for x in runs.values())
+    assert [first[s] for s in sorted(first)] == sorted(first.values())

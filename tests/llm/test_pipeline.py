@@ -48,3 +48,14 @@ def test_stages_on_odd_rows(spark):
             assert docs.columns == list(corpus_pipeline.COLUMNS)
         out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
         assert bool(out) == bool(own)
+
+
+def test_packing_follows_the_mixture(spark):
+    docs = spark.createDataFrame([(i, "some words of a text " * (50 + i % 70), "en", f"s{i % 3 // 2}", 9) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    places = {r.doc_id: at for at, r in enumerate(mixed.collect())}
+    for stream, place in ((mixed, places), (docs.coalesce(1).orderBy("doc_id"), {i: i for i in range(400)})):
+        first = {}
+        for r in corpus_pipeline.pack_sequences(spark, stream, SF).collect():
+            first[r.sequence_id] = min(first.get(r.sequence_id, 400), place[r.doc_id])
+        assert [first[s] for s in sorted(first)] == sorted(first.values()) and len(first) > 10

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from xmlframe.llm.common import ship, tidy, written
+from xmlframe.llm.common import fresh, placed, ship, tidy, written
 from xmlframe.llm.tokens import CACHE_WORDS, ids_of
 
 WINDOW, UNIT = 4096, 256
@@ -162,15 +162,15 @@ def plan(histogram: dict[int, int], window: int, depth: int) -> Level:
     return Level(window, runs, dict(used), windows, base, before, at)
 
 
-def tokenized(df: DataFrame, vocabulary: str, *, row_id: str = "doc_id", text: str = "text", keep_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """(row_id, n, crcs[, ids]): ids with the end id counted, and the CRC-32 of every piece that packing may cut.
+def tokenized(df: DataFrame, vocabulary: str, *, row_id: str = "doc_id", text: str = "text", keep_ids: bool = False, cache_words: int = CACHE_WORDS, at: str | None = None) -> DataFrame:
+    """(row_id, n, crcs[, ids][, at]): ids with the end id counted, and the CRC-32 of every piece that packing may cut.
 
     ``crcs`` are those of the whole windows, the head, the tail, the head's and the tail's powers of two. ``vocabulary`` is the
     path of the vocabulary file on every machine. A null text has the end id only. ``cache_words`` trades memory of the workers
-    for time, the result is the same.
+    for time, the result is the same. ``at`` names a column that is kept.
     """
     ship(df.sparkSession)
-    fields = [("row_id", pa.int64()), ("n", pa.int64()), ("crcs", pa.list_(pa.int64())), *[("ids", pa.list_(pa.int32()))] * keep_ids]
+    fields = [("row_id", pa.int64()), ("n", pa.int64()), ("crcs", pa.list_(pa.int64())), *[("ids", pa.list_(pa.int32()))] * keep_ids, *[("at", pa.int64())] * (at is not None)]
     schema = pa.schema(fields)
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -178,16 +178,18 @@ def tokenized(df: DataFrame, vocabulary: str, *, row_id: str = "doc_id", text: s
         tidy()
         encoder = ids_of(vocabulary, cache_words)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
                 ids = [encoder.of(x.as_py()) + end for x in part.column(1)]
                 cols = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([[zlib.crc32(x[4 * s : 4 * (s + n)]) for s, n in cuts(len(x) // 4)] for x in ids], pa.list_(pa.int64()))]
                 if keep_ids:
                     cols.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
+                if at is not None:
+                    cols.append(part.column(2))
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    ddl = "row_id long, n long, crcs array<long>" + ", ids array<int>" * keep_ids
-    return df.select(F.col(row_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, ddl)
+    ddl = "row_id long, n long, crcs array<long>" + ", ids array<int>" * keep_ids + ", at long" * (at is not None)
+    return df.select(F.col(row_id).cast("long"), F.col(text).cast("string"), *([] if at is None else [F.col(at).cast("long")])).mapInArrow(run, ddl)
 
 
 def _powers(n: int) -> list[int]:
@@ -217,6 +219,56 @@ def _last_sequences(total: int) -> list[tuple[int, int]]:
     return out
 
 
+@dataclass
+class Layout:
+    """Where the pieces of a histogram's rows go: whole windows, combinations of heads, the stream of what is left."""
+
+    heads: Level
+    tails: Level
+    first_heads: int  # sequences: whole windows before these
+    first_stream: int
+    stream_tails: int  # where the tails begin in the stream
+    total: int
+    last: list[tuple[int, int]]
+
+    @classmethod
+    def of(cls, whole: np.ndarray, depths: tuple[int, int]) -> Layout:
+        """``whole``: the whole windows, the heads of 0 to 15 units, the tails of 0 to 255 ids."""
+        heads = plan({k: int(whole[1 + k]) for k in range(1, UNITS)}, UNITS, depths[0])
+        tails = plan({t: int(whole[1 + UNITS + t]) for t in range(1, UNIT)}, UNIT, depths[1])
+        stream_tails = heads.residual * UNIT
+        total = stream_tails + tails.windows * UNIT + tails.residual
+        return cls(heads, tails, int(whole[0]), int(whole[0]) + heads.windows, stream_tails, total, _last_sequences(total))
+
+    def in_stream(self, at: int) -> tuple[int, int]:
+        if self.last and at >= self.last[0][0]:
+            i = max(i for i, (s, _) in enumerate(self.last) if s <= at)
+            return self.first_stream + self.total // WINDOW + i, at - self.last[i][0]
+        return self.first_stream + at // WINDOW, at % WINDOW
+
+    def pieces(self, full: int, head: int, tail: int, full_rank: int, head_rank: int, tail_rank: int) -> Iterator[tuple[int, int] | None]:
+        """(sequence, offset) of each used piece in the order of ``cuts``; None for a piece that is used cut or uncut instead."""
+        yield from ((full_rank + i, 0) for i in range(full))
+        parts: list[tuple[int, int] | None] = []
+        behind = self.stream_tails + self.tails.windows * UNIT
+        for level, size, rank, unit in ((self.heads, head, head_rank, UNIT), (self.tails, tail, tail_rank, 1)):
+            if not size:
+                continue
+            at = level.place(size, rank)
+            if at is None:
+                yield None
+                for _, s in level.cut(size, rank):
+                    parts.append(self.in_stream(s * UNIT if unit == UNIT else behind + s))
+            else:
+                yield (self.first_heads + at[0], at[1] * UNIT) if unit == UNIT else self.in_stream(self.stream_tails + at[0] * UNIT + at[1])
+                parts += [None] * size.bit_count()
+        yield from parts
+
+
+_PIECES = pa.schema([("row_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("n", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_PIECES_DDL = "row_id long, start long, length long, crc long, n long, sequence_id long, offset long"
+
+
 def pack(tokens: DataFrame, *, depths: tuple[int, int] = (4, 3), parts: int | None = None, part_rows: int = 1 << 11, most_parts: int = 1 << 14, seed: int = 11) -> DataFrame:
     """Pieces of all documents of ``tokens`` (written rows as ``tokenized`` gives them, whose ids may be left out).
 
@@ -240,8 +292,6 @@ def pack(tokens: DataFrame, *, depths: tuple[int, int] = (4, 3), parts: int | No
     np.add.at(before, (sums.column("part").to_numpy(), col), sums.column("c").to_numpy())
     whole = before.sum(axis=0)
     offsets = spark.sparkContext.broadcast(np.cumsum(before, axis=0) - before)  # at most ``most_parts`` times 273 numbers
-    heads = plan({k: int(whole[1 + k]) for k in range(1, UNITS)}, UNITS, depths[0])
-    tails = plan({t: int(whole[1 + UNITS + t]) for t in range(1, UNIT)}, UNIT, depths[1])
 
     own = Window.partitionBy("part")
     order = ["row_id", "n", "crcs"]
@@ -249,56 +299,67 @@ def pack(tokens: DataFrame, *, depths: tuple[int, int] = (4, 3), parts: int | No
     rows = rows.withColumn("head_rank", F.row_number().over(Window.partitionBy("part", "head").orderBy(*order)) - 1)
     rows = rows.withColumn("tail_rank", F.row_number().over(Window.partitionBy("part", "tail").orderBy(*order)) - 1)
 
-    first_heads = int(whole[0])  # sequences: whole windows, combinations of heads, the stream of what is left
-    first_stream = first_heads + heads.windows
-    stream_tails = heads.residual * UNIT
-    total = stream_tails + tails.windows * UNIT + tails.residual
-    last = _last_sequences(total)
-    schema = pa.schema([("row_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("n", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-
-    def in_stream(at: int) -> tuple[int, int]:
-        if last and at >= last[0][0]:
-            i = max(i for i, (s, _) in enumerate(last) if s <= at)
-            return first_stream + total // WINDOW + i, at - last[i][0]
-        return first_stream + at // WINDOW, at % WINDOW
-
-    def pieces(n: int, full: int, head: int, tail: int, full_rank: int, head_rank: int, tail_rank: int) -> Iterator[tuple[int, int]]:
-        """(sequence, offset) of each used piece in the order of ``cuts``; None for a piece that is used cut or uncut instead."""
-        yield from ((full_rank + i, 0) for i in range(full))
-        parts: list[tuple[int, int] | None] = []
-        for level, size, rank, unit in ((heads, head, head_rank, UNIT), (tails, tail, tail_rank, 1)):
-            if not size:
-                continue
-            at = level.place(size, rank)
-            if at is None:
-                yield None
-                for _, s in level.cut(size, rank):
-                    parts.append(in_stream(s * UNIT if unit == UNIT else stream_tails + tails.windows * UNIT + s))
-            else:
-                yield (first_heads + at[0], at[1] * UNIT) if unit == UNIT else in_stream(stream_tails + at[0] * UNIT + at[1])
-                parts += [None] * size.bit_count()
-        yield from parts
-
+    layout = Layout.of(whole, depths)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("part", "n", "full", "head", "tail", "full_rank", "head_rank", "tail_rank")
         for b in batches:
             at = {name: b.column(b.schema.get_field_index(name)).to_pylist() for name in names}
             ids, crcs = (b.column(b.schema.get_field_index(x)).to_pylist() for x in ("row_id", "crcs"))
-            out: list[list] = [[] for _ in schema]
+            out: list[list] = [[] for _ in _PIECES]
             for i, (part, n, full, head, tail, fr, hr, tr) in enumerate(zip(*(at[name] for name in names))):
                 own = offsets.value[part]
-                found = pieces(n, full, head, tail, fr + int(own[0]), hr + int(own[1 + head]), tr + int(own[1 + UNITS + tail]))
+                found = layout.pieces(full, head, tail, fr + int(own[0]), hr + int(own[1 + head]), tr + int(own[1 + UNITS + tail]))
                 for j, ((start, length), to) in enumerate(zip(cuts(n), found, strict=True)):
                     if to is not None:
                         for x, v in zip(out, (ids[i], start, length, crcs[i][j] if crcs[i] else None, n, *to)):
                             x.append(v)
                 if len(out[0]) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, schema)], schema=schema)
-                    out = [[] for _ in schema]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, _PIECES)], schema=_PIECES)
+                    out = [[] for _ in _PIECES]
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, _PIECES)], schema=_PIECES)
+
+    return rows.mapInArrow(run, _PIECES_DDL)
+
+
+def pack_in_order(tokens: DataFrame, *, run_rows: int = 1 << 12, depths: tuple[int, int] = (4, 3)) -> DataFrame:
+    """Pieces as of ``pack``, with the sequences in the order of ``at``, the gapless place of each row of ``tokens`` from 0.
 
-    return rows.mapInArrow(run, "row_id long, start long, length long, crc long, n long, sequence_id long, offset long")
+    Every run of ``run_rows`` rows is planned and packed by itself, in one task: all its sequences come before those of the next
+    run, and within a run a sequence comes by its earliest piece. At the end of a run are up to 12 sequences of powers of two.
+    """
+    spark = tokens.sparkSession
+    ship(spark)
+    rows = tokens.select("row_id", "n", "crcs", "at", F.floor(F.col("at") / run_rows).cast("long").alias("run"))
+    # One number for each run; a run's sequences are full but for the powers of two of what is left.
+    sums = {r.run: r.n for r in rows.groupBy("run").agg(F.sum("n").alias("n")).collect()}
+    firsts, at = {}, 0
+    for run in sorted(sums):
+        firsts[run] = at
+        at += sums[run] // WINDOW + (sums[run] % WINDOW).bit_count()
+    shared = spark.sparkContext.broadcast(firsts)
+
+    def pack_run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        ids, lengths, crcs = (group.column(x).to_pylist() for x in ("row_id", "n", "crcs"))
+        cut = [(n // WINDOW, n % WINDOW // UNIT, n % UNIT) for n in lengths]
+        whole = np.zeros(1 + UNITS + UNIT, np.int64)
+        ranks = []
+        for full, head, tail in cut:
+            ranks.append((int(whole[0]), int(whole[1 + head]), int(whole[1 + UNITS + tail])))
+            whole[[0, 1 + head, 1 + UNITS + tail]] += (full, 1, 1)
+        layout = Layout.of(whole, depths)
+        first, order = shared.value[group.column("run")[0].as_py()], {}
+        out: list[list] = [[] for _ in _PIECES]
+        for i, n in enumerate(lengths):
+            for j, ((start, length), to) in enumerate(zip(cuts(n), layout.pieces(*cut[i], *ranks[i]), strict=True)):
+                if to is not None:
+                    sequence = first + order.setdefault(to[0], len(order))
+                    for x, v in zip(out, (ids[i], start, length, crcs[i][j] if crcs[i] else None, n, sequence, to[1])):
+                        x.append(v)
+        return pa.table([pa.array(x, t.type) for x, t in zip(out, _PIECES)], schema=_PIECES)
+
+    return rows.groupBy("run").applyInArrow(pack_run, _PIECES_DDL)
 
 
 def sequences(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -308,6 +369,12 @@ def sequences(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
     return own.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"])).alias("ids"))
 
 
-def pack_documents(df: DataFrame, vocabulary: str, *, row_id: str = "doc_id", text: str = "text", cache_words: int = CACHE_WORDS, **options) -> DataFrame:
-    """Tokenize and pack all rows of ``df``; see ``pack``. The narrow token table is written once to the shared folder."""
+def pack_documents(df: DataFrame, vocabulary: str, *, row_id: str = "doc_id", text: str = "text", cache_words: int = CACHE_WORDS, in_order: bool = False, **options) -> DataFrame:
+    """Tokenize and pack all rows of ``df``; see ``pack``. The narrow token table is written once to the shared folder.
+
+    ``in_order``: the sequences follow the rows (of files: in the order of their names); see ``pack_in_order``.
+    """
+    if in_order:
+        (at,) = fresh(df, "_at")
+        return pack_in_order(written(tokenized(placed(df, at), vocabulary, row_id=row_id, text=text, cache_words=cache_words, at=at), "tokens"), **options)
     return pack(written(tokenized(df, vocabulary, row_id=row_id, text=text, cache_words=cache_words), "tokens"), **options)
