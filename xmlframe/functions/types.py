@@ -196,12 +196,16 @@ def value(b: Builtin, text: str):
 _RANGES = {"bigint": (-(2**63), 2**63 - 1), "int": (-(2**31), 2**31 - 1), "smallint": (-(2**15), 2**15 - 1), "tinyint": (-128, 127)}
 #: Types that the writer gives a number of seconds since 1970.
 STAMPS = ("dateTime", "dateTimeStamp")
+#: Seconds of 400 years, after which the calendar repeats itself: years beyond 9999 are counted from there.
+_CYCLE = 146_097 * 86_400
 
 
 def stamp(seconds: str) -> str:
     """The UTC time of a number of seconds since 1970, with the fraction as it was written."""
     whole, dot, part = seconds.partition(".")
-    return (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=int(whole or 0))).strftime("%Y-%m-%dT%H:%M:%S") + (f".{part}" if part else "") + "Z"
+    cycles, rest = divmod(int(whole or 0), _CYCLE)
+    at = datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=rest)
+    return f"{at.year + 400 * cycles:04}{at:-%m-%dT%H:%M:%S}" + (f".{part}" if part else "") + "Z"
 
 
 def text_of(b: Builtin, x) -> str:
@@ -309,11 +313,13 @@ def text_col(b: Builtin, x: Column) -> Column:
     if b.name in STAMPS:
         t = x.cast("string")
         whole, part = F.regexp_extract(t, r"^([0-9]+)", 1), F.regexp_extract(t, r"\.([0-9]*?)0*$", 1)
-        seconds = F.coalesce(whole.try_cast("bigint"), F.lit(0))
-        days, rest = F.floor(seconds / 86400).cast("int"), (seconds % 86400).cast("decimal(18,6)")
-        at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days, F.lit(0), F.lit(0), rest)
-        made = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)), F.lit("Z"))
-        return F.when(t.rlike(r"^[0-9]+(?:\.[0-9]*)?$"), made).otherwise(t)
+        seconds = whole.try_cast("bigint")
+        rest = seconds % _CYCLE
+        cycles = F.round((seconds - rest) / _CYCLE)
+        at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(((rest - rest % 86400) / 86400).cast("int"), F.lit(0), F.lit(0), (rest % 86400).cast("decimal(18,6)"))
+        year = F.year(at) + 400 * cycles.cast("bigint")
+        made = F.concat(year.cast("string"), F.date_format(at, "-MM-dd'T'HH:mm:ss"), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)), F.lit("Z"))
+        return F.when(t.rlike(r"^[0-9]+(?:\.[0-9]*)?$") & seconds.isNotNull(), made).otherwise(t)  # more digits than that are refused as no date
     return x.cast("string")
 
 
