@@ -188,7 +188,7 @@ class CompiledReader:
     def _native_frame(self, df: DataFrame, xml: str, out: str) -> DataFrame:
         """Column ``out``, a struct (data, errors). Steps are projections of their own, so each is computed once and compiled."""
         native = NativeReader(self.element, self.options)
-        whole, skeleton, plain, pairs, texts, value, wrong, slow = fresh(df, "_whole", "_skeleton", "_plain", "_pairs", "_texts", "_value", "_wrong", "_slow")
+        whole, skeleton, plain, pairs, odd, value, wrong, slow = fresh(df, "_whole", "_skeleton", "_plain", "_pairs", "_odd", "_value", "_wrong", "_slow")
         message = F.col(xml)
         try:
             fast = FastReader(self.element, self.options)
@@ -196,8 +196,7 @@ class CompiledReader:
         except NotPlain:
             if self.mostly_native:
                 return df.withColumn(out, self.column(message))
-            own = df.withColumn(texts, native.texts(message))
-            return own.withColumn(out, native.result(message, F.col(texts)))
+            return native.staged(df, message, out)
         own = df.withColumn(whole, fast.whole(message)).withColumn(skeleton, fast.skeleton(F.col(whole))).withColumn(plain, is_plain)
         own = own.withColumn(whole, F.when(F.col(plain), fast.bare(F.col(whole))))
         found = fast.repeats(F.col(whole))
@@ -215,7 +214,10 @@ class CompiledReader:
         data, errors = fast.values(F.col(whole), bound)
         own = own.withColumn(value, data).withColumn(wrong, F.when(F.col(plain), errors))
         rest = F.when(~F.col(plain), message)
-        own = own.withColumn(slow, self.column(rest) if self.mostly_native else F.when(~F.col(plain), native.column(message)))
+        if self.mostly_native:
+            own = own.withColumn(slow, self.column(rest))
+        else:
+            own = native.staged(own.withColumn(odd, rest), F.col(odd), slow)
         read = F.struct(F.when(F.size(wrong) == 0, F.col(value)).cast(self.shape).alias("data"), F.col(wrong).alias("errors"))
         return own.withColumn(out, F.when(F.col(plain), read).otherwise(F.col(slow)))
 

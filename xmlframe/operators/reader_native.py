@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -19,12 +19,14 @@ from xmlframe.functions import types as T
 from xmlframe.operators.values import read_simple
 from xmlframe.plans.model import Attribute, Complex, Element, Group, Options, Particle, Simple
 from xmlframe.plans.shape import Shape, out_of_order, spaces
+from xmlframe.workers import fresh
 
 ERROR = S.StructType([S.StructField("code", S.StringType()), S.StructField("path", S.StringType()), S.StructField("message", S.StringType())])
 _VALUE, _ANY = "_VALUE", "xs_any"
 _READ = {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": _VALUE, "ignoreSurroundingSpaces": "false", "wildcardColName": _ANY, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
 #: The name in a start tag, and a declaration of a namespace: prefix, and namespace in either kind of quotes.
 _TAG = r"<([^\s<>/!?][^\s<>/]*)"
+_ROOT = r"^\s*(?:<\?[^>]*>\s*|<!--(?s:.*?)-->\s*)*<(?:[\w.\-]+:)?([\w.\-]+)"
 _DECLARED = r"""\sxmlns:?([^\s=]*)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 
@@ -112,6 +114,19 @@ def repeated(p: Particle) -> Iterator[Element]:
         yield p.term
 
 
+def _tags_in_order(p: Particle) -> str | None:
+    """A pattern that only tags in the order of a sequence meet; none where it holds more than elements and further sequences."""
+    if isinstance(p.term, Element):
+        t = p.term.type
+        inner = (_tags_in_order(t.content) if t.content is not None else "") if isinstance(t, Complex) else ""
+        name = rf"(?:[^\s<>:/]+:)?\Q{p.term.local}\E"
+        return None if inner is None or p.term.members else rf"(?:[^<]*+<{name}(?:\s[^<>]*)?(?<!/)>{inner}[^<]*+</{name}\s*>|[^<]*+<{name}(?:\s[^<>]*)?/>)*+"
+    if not isinstance(p.term, Group) or p.term.kind != "sequence" or p.many:
+        return None
+    parts = [_tags_in_order(x) for x in p.term.particles]
+    return None if None in parts else "".join(parts)
+
+
 class NativeReader:
     """``column(xml)`` gives a struct (data, errors)."""
 
@@ -162,11 +177,11 @@ class NativeReader:
         """Struct (data, errors) from the message and its parsed form."""
         e = self.root
         flat = not isinstance(self._texts(e), S.StructType)
-        local = F.regexp_extract(xml, r"^\s*(?:<\?[^>]*>\s*|<!--(?s:.*?)-->\s*)*<(?:[\w.\-]+:)?([\w.\-]+)", 1)
+        local = F.regexp_extract(xml, _ROOT, 1)
         there = xml.isNotNull()
         broken = F.coalesce(there & (r.isNull() | r["_broken"].isNotNull()), F.lit(False))
         sought = self._doubtful(xml)
-        strange = self._space_of(xml, F.regexp_extract(self._tags(xml), _TAG, 1)) != e.ns
+        strange = self._space_of(self._bindings(xml), F.regexp_extract(self._tags(xml), _TAG, 1)) != e.ns
         other = F.coalesce(there & ~broken & ((local != e.local) | sought & strange), F.lit(False))
         value, errors = self._value(e, r[_VALUE] if flat else r, e.path)
         wrong = [
@@ -188,7 +203,9 @@ class NativeReader:
             return F.coalesce(xml.contains("xmlns"), F.lit(False)) | F.lit(bool(inside - {""}))
         p = F.substring_index(F.substring(xml, 2, 256), ":", 1)
         mine = times(F.concat(F.lit("<"), p, F.lit(":"))) + times(F.concat(F.lit("</"), p, F.lit(":")))
-        sure = xml.startswith(F.concat(F.lit("<"), p, F.lit(f":{e.local}"))) & xml.contains(F.concat(F.lit(" xmlns:"), p, F.lit(f'="{e.ns}"'))) & (times(F.lit("xmlns")) == 1)
+        xsi = xml.contains(f' xmlns:xsi="{T.XSI}"') & ~xml.contains("<xsi:") & (p != "xsi")  # for attributes only
+        declared = times(F.lit("xmlns")) - F.when(xsi, 1).otherwise(0)
+        sure = xml.startswith(F.concat(F.lit("<"), p, F.lit(f":{e.local}"))) & xml.contains(F.concat(F.lit(" xmlns:"), p, F.lit(f'="{e.ns}"'))) & (declared == 1)
         if inside <= {""}:
             sure = sure & (mine <= 2)
         elif inside == {e.ns}:
@@ -207,37 +224,81 @@ class NativeReader:
         part = lambda x, i: F.regexp_extract(x, _DECLARED, i)
         return F.array_distinct(F.transform(found, lambda x: F.struct(part(x, 1).alias("key"), F.concat(part(x, 2), part(x, 3)).alias("value"))))
 
-    def _space_of(self, xml: Column, name: Column) -> Column:
+    def _space_of(self, bindings: Column, name: Column) -> Column:
         """The namespace of a tag's name; a name of its own for a prefix that nothing declares."""
         prefix = F.when(name.contains(":"), F.substring_index(name, ":", 1)).otherwise("")
-        own = F.filter(self._bindings(xml), lambda b: b["key"] == prefix)
+        own = F.filter(bindings, lambda b: b["key"] == prefix)
         return F.coalesce(F.get(own, F.lit(0))["value"], F.when(prefix == "", "").otherwise("undeclared"))
 
-    def _foreign(self, xml: Column, sought: Column) -> list[Error]:
+    def _foreign(self, xml: Column, sought: Column, bindings: Column | None = None, tags: Column | None = None, strangers: Column | None = None) -> list[Error]:
         """Elements in other namespaces. The parser goes by local names, so declarations and names are looked up in the text itself.
 
         That tells where each prefix stands for one namespace, and the default is declared at the root, if at all: other messages are refused.
         """
         e = self.root
-        bindings, tags = self._bindings(xml), self._tags(xml)
+        bindings = self._bindings(xml) if bindings is None else bindings
+        tags = self._tags(xml) if tags is None else tags
         twice = F.size(F.array_distinct(F.transform(bindings, lambda b: b["key"]))) < F.size(bindings)
         late = F.exists(bindings, lambda b: b["key"] == "") & ~F.regexp_extract(tags, r"^\s*<[^>]*>", 0).rlike(r"\sxmlns\s*=")
         unsure = _error(sought & (twice | late), "namespace", e.path, f"namespaces are declared again inside of {e.path}: read it in document order")
-        if not isinstance(e.type, Complex) or not (wanted := spaces(e.type)):
+        found = self._strangers(tags, bindings) if strangers is None else strangers
+        if found is None:
             return [unsure]
+        message = F.concat(F.lit("element `"), F.substring_index(F.get(found, F.lit(0)), ":", -1), F.lit(f"' not processed for {e.path}"))
+        return [unsure, _error(sought & ~(twice | late) & (F.size(found) > 0), "leftover", e.path, message)]
+
+    def _strangers(self, tags: Column, bindings: Column) -> Column | None:
+        """Distinct names of tags that stand in another namespace than the schema's element of that name."""
+        e = self.root
+        if not isinstance(e.type, Complex) or not (wanted := spaces(e.type)):
+            return None
         known = F.create_map(*(x for local, own in wanted.items() for x in (F.lit(local), F.array(*map(F.lit, sorted(own))))))
-        local = lambda n: F.substring_index(n, ":", -1)
         names = F.array_distinct(F.regexp_extract_all(tags, F.lit(_TAG), F.lit(1)))
-        found = F.filter(names, lambda n: ~F.array_contains(F.coalesce(F.try_element_at(known, local(n)), F.array(self._space_of(xml, n))), self._space_of(xml, n)))
-        message = F.concat(F.lit("element `"), local(F.get(found, F.lit(0))), F.lit(f"' not processed for {e.path}"))
-        return [unsure, _error(sought & ~(twice | late) & (F.size(found) > 0), "leftover", e.path, message)]
+        own = F.transform(names, lambda n: F.struct(n.alias("name"), F.try_element_at(known, F.substring_index(n, ":", -1)).alias("known"), self._space_of(bindings, n).alias("space")))
+        return F.transform(F.filter(own, lambda x: x["known"].isNotNull() & ~F.array_contains(x["known"], x["space"])), lambda x: x["name"])
+
+    def staged(self, df: DataFrame, xml: Column, out: str) -> DataFrame:
+        """Column ``out`` as ``column`` gives it, by projections: what several conditions ask for is computed once and compiled. Null messages cost next to nothing."""
+        e = self.root
+        texts, head, sought, tags, bindings, odd, order, value, every = fresh(df, *(f"_s_{x}" for x in ("texts", "head", "sought", "tags", "bindings", "odd", "order", "value", "every")))
+        c = F.col
+        there, flat = xml.isNotNull(), not isinstance(self._texts(e), S.StructType)
+        local = F.regexp_extract(xml, _ROOT, 1)
+        broken = F.coalesce(there & (c(texts).isNull() | c(texts)["_broken"].isNotNull()), F.lit(False))
+        df = df.withColumn(texts, self.texts(xml)).withColumn(sought, F.when(there, self._doubtful(xml)))
+        df = df.withColumn(tags, F.when(c(sought), self._tags(xml)))
+        df = df.withColumn(bindings, F.when(c(sought), self._bindings(c(tags))))
+        strange = self._space_of(c(bindings), F.regexp_extract(c(tags), _TAG, 1)) != e.ns
+        df = df.withColumn(head, F.when(broken, "broken").when(F.coalesce(there & ((local != e.local) | c(sought) & strange), F.lit(False)), "other").when(there, "sound"))
+        ok = F.coalesce(c(head) == "sound", F.lit(False))
+        looked = self._strangers(c(tags), c(bindings))
+        df = df.withColumn(odd, F.when(ok & c(sought), looked if looked is not None else F.array().cast("array<string>")))
+        foreign = self._foreign(xml, F.coalesce(ok & c(sought), F.lit(False)), c(bindings), c(tags), None if looked is None else c(odd))
+        data, errors = self._value(e, c(texts)[_VALUE] if flat else c(texts), e.path)
+        ordered = self._order(xml, ok)
+        if ordered:
+            df = df.withColumn(order, ordered[0].bad)
+            ordered = [Error(c(order), ordered[0].report)]
+        found = joined(_only(ok, errors))
+        wrong = [
+            _error(c(head) == "broken", "xml", e.path, "not well-formed"),
+            _error(c(head) == "other", "root", e.path, F.concat(F.lit("data not recognized, found a `"), local, F.lit("'"))),
+            *foreign,
+            Error(None, F.when(ok, found).otherwise(_none())),
+            *ordered,
+        ]
+        df = df.withColumn(every, F.when(there, joined(wrong)).otherwise(_none())).withColumn(value, F.when(ok, data))
+        return df.withColumn(out, F.struct(F.when(there & (F.size(c(every)) == 0), c(value)).alias("data"), c(every).alias("errors"))).drop(texts, head, sought, tags, bindings, odd, order, value, every)
 
     def _order(self, xml: Column, sound: Column) -> list[Error]:
         """Elements before others that have to come first: arrays by name have lost that, so XPath looks at the message itself."""
         e = self.root
         if not self.options.order_check or not isinstance(e.type, Complex) or not (found := out_of_order(e.type)):
             return []
-        bad = F.when(sound, reduce(lambda a, b: a | b, (F.xpath_boolean(xml, F.lit(f"boolean({x})")) for x in found)))
+        look = F.xpath_boolean(xml, F.lit(" or ".join(f"boolean({x})" for x in found)))  # one tree for all
+        if tags := _tags_in_order(e.type.content):
+            look = F.when(~xml.contains("<!") & xml.rlike(rf"^(?:<\?[^<>]*>)?\s*+<[^<>?/]+>{tags}[^<]*+</[^<>]*>\s*$"), False).otherwise(look)
+        bad = F.when(sound, look)
         return [_error(bad, "order", e.path, f"elements of {e.path} aren't in the order of its sequence")]
 
     def _packed(self, e: Element, c: Column, path: str) -> Column:
