@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from xmlframe.operators.reader_native import ERROR, Error, NativeReader, Value, _none, joined, repeated, simple
+from xmlframe.operators.reader_native import ERROR, Error, NativeReader, Value, _error, _none, joined, repeated, simple
 from xmlframe.plans.model import Attribute, Complex, Element, Group, Options, Particle, Simple
 
 _PREFIX = r"([A-Za-z_][\w.\-]*)"
@@ -87,6 +87,10 @@ class FastReader(NativeReader):
             inner = self._block(e.type.content, prefix)
         return f"<{name}{self._attributes(e)}>{inner}</{name}>"
 
+    def _tallied(self, p: Particle) -> bool:
+        """Whether a plain message may hold too few or too many of an element, which are counted then."""
+        return p.many and isinstance(p.term, Element) and self.options.check_occurs and self.options.order_check != "python" and (p.min, p.max) != (0, None) and p.term.fixed is None and p.term.default is None
+
     def _block(self, p: Particle, prefix: str) -> str:
         if p.max == 0:
             return ""
@@ -103,6 +107,8 @@ class FastReader(NativeReader):
             return f"(?:{'|'.join(self._tag(x.term, prefix) for x in p.term.particles)})*+"
         if (p.min, p.max) == (1, 1):
             return f"(?:{own})"
+        if self._tallied(p):
+            return f"(?:{own})*+"
         return f"(?:{own}){{{p.min},{'' if p.max is None else p.max}}}+"
 
     def whole(self, xml: Column) -> Column:
@@ -276,7 +282,12 @@ class FastReader(NativeReader):
             if pairs is None:
                 pairs = self._cut_pairs(e, scope, where)
             fields[e.key] = F.when(F.size(pairs) > 0, F.transform(pairs, lambda q: q["value"]))
-            return [Error(None, F.coalesce(F.flatten(F.transform(pairs, lambda q: q["errors"])), _none()))]
+            if self._tallied(p):
+                if not optional and p.min:
+                    errors.append(_error(F.size(pairs) < p.min, "missing", path, f"data for element or block starting with `{e.local}' missing at {path}"))
+                if p.max is not None:
+                    errors.append(_error(F.size(pairs) > p.max, "leftover", where, f"element `{e.local}' not processed for {path}"))
+            return [*errors, Error(None, F.coalesce(F.flatten(F.transform(pairs, lambda q: q["errors"])), _none()))]
         value, wrong = self._cut_value(e, scope, where, bound)
         if optional or p.min == 0:
             there = self._there(e, scope)
