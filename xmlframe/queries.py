@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from xmlframe.engine import Hook, XmlSchema
 from xmlframe.functions import durations, names
-from xmlframe.workers import ship
+from xmlframe.workers import ship, spread
 
 NS = "urn:shop"
 XSD = "http://www.w3.org/2001/XMLSchema"
@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def esc(c: Column | str) -> Column:
