@@ -66,3 +66,33 @@ def test_too_few_and_too_many_are_plain(spark):
     got = {r.n: (r.x, r.errors) for r in reader.frame(df, "xml", "PERMISSIVE", ("n",)).collect()}
     want = {r.n: (r.r.data and r.r.data.x, r.r.errors) for r in df.select("n", reader.column(F.col("xml")).alias("r")).collect()}
     assert got == want and [n for n in got if not got[n][1]] == [2, 3]
+
+
+def test_short_ways_of_numbers_are_those_of_the_whole_check():
+    from xmlframe.operators.values import DataError, read_simple, write_simple
+    from xmlframe.plans.model import Options, Simple
+
+    texts = ["0", "7", "007", "127", "128", "32768", "2147483648", "9223372036854775808", "18446744073709551615", "1" * 38, "1" * 39, "-1", "+1", " 5", "5.", ".5", ".", "1.5", "1.2.3", "", "٣", "²", "1_0", "1e3", "INF"]
+    for b in T.BUILTINS.values():
+        if b.kind not in ("integer", "decimal", "float"):
+            continue
+        for text in texts:
+            try:
+                want = T.value(b, text) if T.valid(b, text) else None
+            except (ValueError, ArithmeticError):
+                want = None
+            try:
+                got = read_simple(Simple(b.name, builtin=b), text, "", Options())
+            except DataError:
+                got = None
+            assert (got, type(got)) == (want, type(want)), (b.name, text)
+            assert T.plain_value(b, text) in (None, want)
+        for x in (-(2**63) - 1, -129, -1, 0, 1, 200, 2**31, 2**63, 2**64):
+            try:
+                want = T.value(b, str(x)) is not None and T.valid(b, str(x))
+            except (ValueError, ArithmeticError):
+                want = False
+            try:
+                assert write_simple(Simple(b.name, builtin=b), x, "", Options()) == str(x) and want
+            except DataError:
+                assert not want

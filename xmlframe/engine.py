@@ -45,22 +45,27 @@ def register(name: str, backend: Callable) -> None:
     BACKENDS[name] = backend
 
 
-def _plain(value, kind: S.DataType):
-    """Python data in the form that Arrow takes for a Spark type."""
-    if value is None:
-        return None
+def _plain(kind: S.DataType) -> Callable:
+    """What brings Python data into the form that Arrow takes for a Spark type; the type is looked at once, not for each value."""
     if isinstance(kind, S.StructType):
-        data = value if isinstance(value, dict) else {"_": value}
-        return {f.name: _plain(data.get(f.name), f.dataType) for f in kind.fields}
+        fields = [(f.name, _plain(f.dataType)) for f in kind.fields]
+
+        def struct(value):
+            if value is None:
+                return None
+            data = value if isinstance(value, dict) else {"_": value}
+            return {name: own(data.get(name)) for name, own in fields}
+
+        return struct
     if isinstance(kind, S.ArrayType):
-        items = value if isinstance(value, (list, tuple)) else [value]
-        return [_plain(x, kind.elementType) for x in items]
+        item = _plain(kind.elementType)
+        return lambda value: None if value is None else [item(x) for x in (value if isinstance(value, (list, tuple)) else [value])]
     if isinstance(kind, S.MapType):
-        pairs = dict(value).items()
-        return [(k, _plain(v, kind.valueType)) for k, v in pairs]
+        item = _plain(kind.valueType)
+        return lambda value: None if value is None else [(k, item(v)) for k, v in dict(value).items()]
     if isinstance(kind, S.StringType):
-        return value if isinstance(value, str) else str(value)
-    return value
+        return lambda value: value if value is None or isinstance(value, str) else str(value)
+    return lambda value: value
 
 
 class CompiledReader:
@@ -137,12 +142,12 @@ class CompiledReader:
 
         @F.arrow_udf(kind)
         def run(messages: pa.Array) -> pa.Array:
-            out = []
+            out, plain = [], _plain(shape)
             for m in messages:
                 data, errors = None, []
                 if m.is_valid:
                     try:
-                        data = _plain(read(m.as_py()), shape)
+                        data = plain(read(m.as_py()))
                     except DataError as e:
                         errors.append({"code": e.code, "path": e.path, "message": str(e)})
                     except XmlError as e:

@@ -164,6 +164,24 @@ def valid(b: Builtin, text: str) -> bool:
     return True
 
 
+def holds(b: Builtin, x: int) -> bool:
+    """Whether a type of integers on native numbers has this one."""
+    if b.kind != "integer" or b.spark not in _RANGES:
+        return False
+    low, high = _RANGES[b.spark]
+    return low <= x <= high and (b.low is None or x >= b.low) and (b.high is None or x <= b.high)
+
+
+def plain_value(b: Builtin, text: str):
+    """The value of a number of digits alone, with a point in floats; none for other texts, which take the whole check."""
+    if b.kind == "integer":
+        if text.isascii() and text.isdigit() and len(text) < 20 and holds(b, x := int(text)):
+            return x
+    elif b.kind == "float" and text.isascii() and text.replace(".", "", 1).isdigit():
+        return float(text)
+    return None
+
+
 def value(b: Builtin, text: str):
     """The value of a checked text; ValueError where the Spark type can't hold it."""
     t = spaced(text, b.space)
